@@ -4,7 +4,8 @@ A shard holds records one after the other:
 
     uint64 length | uint32 masked CRC-32 of these 8 bytes | payload | uint32 masked CRC-32 of the payload
 
-all little-endian; the payload is one document's ids as uint32. Checksums are masked (rotated right
+all little-endian; the payload is a byte with the width of an id, 2 or 4, and one document's ids in that
+width, the narrowest for the vocabulary. Checksums are masked (rotated right
 by 15 bits, plus a constant) so that a checksum over bytes that hold checksums stays sound. Beside
 each shard lies an index: for each record a row of int64 (has_id, doc_id, offset), behind a header of
 the number of rows, for reads in any order without a pass over the shard.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from tessera.storage import scratch, table, written
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Words whose ids each Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 _HEAD, _CRC = struct.Struct("<QI"), struct.Struct("<I")
 
 
@@ -69,6 +71,10 @@ def read_record(source) -> bytes | None:
     return payload
 
 
+def ids_of(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+
+
 def read_index(path: str) -> np.ndarray:
     store, place = fs.FileSystem.from_uri(path)
     with store.open_input_stream(place + ".idx") as source:
@@ -83,11 +89,11 @@ def read_at(path: str, offset: int) -> np.ndarray:
     store, place = fs.FileSystem.from_uri(path)
     with store.open_input_file(place) as source:
         source.seek(int(offset))
-        return np.frombuffer(read_record(source), dtype="<u4")
+        return ids_of(read_record(source))
 
 
 class Encoder:
-    """Texts to the bytes of their ids. The library encodes each word once; the ids of a text are those of its words."""
+    """Texts to the bytes of their ids, ``width`` to an id. The library encodes each word once; the ids of a text are those of its words."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -95,35 +101,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.width = 2 if max(self.tokenizer.get_vocab().values()) < 1 << 16 else 4
         self.special = special_pattern(self.tokenizer)
         self.known: dict[str, bytes] = {}
 
-    def _library(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """One call for all new words: a line break between two words is a word of its own and leaves both as they are."""
+        solid = [w for w in words if not w.isspace()]
+        self.known.update((w, self._library(w)) for w in words if w.isspace())
+        got = self.tokenizer.encode("\n".join(solid), add_special_tokens=False)
+        ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=2 * len(solid) - 1)) * self.width if solid else []
+        if len(ends) != max(0, 2 * len(solid) - 1):
+            raise ValueError("words were cut in another way")
+        data, at = np.array(got.ids, dtype=f"<u{self.width}").tobytes(), 0
+        for i, w in enumerate(solid):
+            end = int(ends[2 * i])
+            self.known[w] = data[at:end]
+            at = int(ends[2 * i + 1]) if i + 1 < len(solid) else end
 
     def __call__(self, text: str) -> bytes:
         if not plain(text) or self.special.search(text):
-            return self._library([text])[0]
+            return self._library(text)
         words = BYTE_LEVEL_WORD.findall(text)
         known = self.known
         if new := [w for w in set(words) if w not in known]:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(set(words))
-            known.update(zip(new, self._library(new), strict=True))
+            self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
 
+@lru_cache(1)
+def encoder(vocabulary: str) -> Encoder:
+    """The process's own, so that its words outlast a task."""
+    return Encoder(vocabulary)
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """Writes the shards of (doc_id, text) and returns their manifest: part, path, n_docs, n_tokens."""
-    end = struct.pack("<I", end_id)
     ddl = "part int, path string, n_docs long, n_tokens long"
 
     def shard(parts) -> Iterator[dict]:
         parts = iter(parts)
         if (first := next(parts, None)) is None:
             return
-        encode, task = Encoder(vocabulary), TaskContext.get()
+        encode, task = encoder(vocabulary), TaskContext.get()
+        if end_id >= 1 << 8 * encode.width:
+            raise ValueError("the end id does not fit the ids' width")
+        head, end = bytes([encode.width]), end_id.to_bytes(encode.width, "little")
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.rec"
         store, place = fs.FileSystem.from_uri(path)
         store.create_dir(place.rsplit("/", 1)[0], recursive=True)
@@ -133,11 +162,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
             while part is not None:
                 rows = []
                 for doc, text in zip(part["doc_id"].to_pylist(), texts(part), strict=True):
-                    record = frame(payload := encode(text) + end)
+                    record = frame(payload := head + encode(text) + end)
                     out.write(record)
                     rows.append((doc is not None, doc or 0, offset))
                     offset += len(record)
-                    tokens += len(payload) // 4
+                    tokens += len(payload) // encode.width
                 index.append(np.array(rows, dtype="<i8").reshape(-1, 3))
                 part = next(parts, None)
         rows = np.concatenate(index)
@@ -162,8 +191,9 @@ def read(manifest: DataFrame) -> DataFrame:
                 start, rows, held = shard["start"], [], 0
                 with store.open_input_stream(place, buffer_size=1 << 20) as source:
                     for has_id, doc, _ in read_index(shard["path"]).tolist():
-                        if (ids := read_record(source)) is None:
+                        if (payload := read_record(source)) is None:
                             raise ValueError("shard has fewer records than its index")
+                        ids = ids_of(payload).tobytes()
                         rows.append((doc if has_id else None, start, len(ids) // 4, zlib.crc32(ids), ids))
                         start, held = start + len(ids) // 4, held + len(ids)
                         if held > 4 << 20:

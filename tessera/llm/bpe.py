@@ -23,6 +23,7 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -162,6 +163,7 @@ class Lexicon:
         return self.ids[self.starts[place] : self.starts[place + 1]].tolist()
 
 
+@lru_cache(1)
 def _library(vocabulary: str):
     from tokenizers import Tokenizer
 
@@ -239,23 +241,27 @@ class Codec:
         return " ".join(map(self.token.__getitem__, ids))
 
 
+@lru_cache(1)
+def codec(vocabulary: str, name: str) -> Codec:
+    """The process's own, over the lexicon that Spark has brought, mapped into memory."""
+    with open(SparkFiles.get(name), "rb") as f:
+        return Codec(vocabulary, Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
+
+
 def encode(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document."""
     name = lexicon_file(docs.sparkSession, frequent_words(docs, vocabulary, most), vocabulary)
 
     def run(parts) -> Iterator[dict]:
-        codec = None
         for part in parts:
-            if codec is None:
-                with open(SparkFiles.get(name), "rb") as f:
-                    codec = Codec(vocabulary, Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
+            own_codec = codec(vocabulary, name)
             ids, shown, decoded = [], [], []
             for text in texts(part):
-                words = list(codec.parts(text))
+                words = list(own_codec.parts(text))
                 own = [i for x, _ in words for i in x]
                 ids.append(own)
                 shown.append(hashlib.sha256(" ".join([s for _, s in words]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(own).encode()).hexdigest())
+                decoded.append(hashlib.sha256(own_codec.decode(own).encode()).hexdigest())
             yield {"doc_id": part["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "ids_sha256": shown, "decoded_sha256": decoded}
 
     return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

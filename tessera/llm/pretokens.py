@@ -9,15 +9,15 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import regex
 from tokenizers import Tokenizer
 
-#: ASCII without the separators 0x1c to 0x1f, and the letters and signs of Latin-1 and Latin Extended-A and -B.
-_PLAIN = re.compile("[\t-\r -~ -ɏ]*")
+#: ASCII without the separators 0x1c to 0x1f, and Latin letters from U+00C0 to U+017F.
+_PLAIN = re.compile("[\t-\r -~À-ſ]*")
+_L = "A-Za-zÀ-ÖØ-öø-ſ"
 
-#: Fixed values of the byte-level scheme: the pattern of its words, and that of the lower-case vocabulary.
-BYTE_LEVEL_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-LOWER_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The words of the byte-level scheme and of the lower-case vocabulary, over the characters above.
+BYTE_LEVEL_WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+LOWER_WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
 
 
 def byte_letters() -> dict[int, str]:
