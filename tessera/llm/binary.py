@@ -41,7 +41,7 @@ from tessera.storage import scratch, table, written
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Words whose ids each Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _HEAD, _CRC = struct.Struct("<QI"), struct.Struct("<I")
 
 
