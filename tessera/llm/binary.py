@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -128,9 +129,9 @@ class Encoder:
         words = BYTE_LEVEL_WORD.findall(text)
         known = self.known
         if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
+            if len(known) + len(new) > REMEMBERED:  # the words met first are the frequent ones
+                known = self.known = dict(islice(known.items(), REMEMBERED // 2))
+                new = [w for w in set(words) if w not in known]
             self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
