@@ -24,7 +24,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 from pyspark import SparkFiles
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.batches import map_slices, texts
 from tessera.llm.pretokens import LETTER, lower_words, special_pattern
-from tessera.storage import scratch, table
+from tessera.storage import scratch, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Most words in the lexicon, words a worker counts before it hands them on, words whose ids a worker remembers.
 LEXICON, COUNTED, REMEMBERED = 1 << 15, 200_000, 200_000
 _WORD_END = "</w>"
+_ID, _MASK, _NEVER = 20, (1 << 20) - 1, 1 << 60
 
 
 class Merger:
@@ -49,41 +50,44 @@ class Merger:
             model = json.load(f)["model"]
         self.vocab = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        # by pair: rank and new id in one number, so that the least of them says both
+        self.rank = {self.vocab[a] << _ID | self.vocab[b]: i << _ID | self.vocab[a + b] for i, (a, b) in enumerate(pairs)}
         self.first = [self.vocab[LETTER[b]] for b in range(256)]
         self.last = [self.vocab[LETTER[b] + _WORD_END] for b in range(256)]
 
     def __call__(self, word: bytes) -> list[int]:
-        ids = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
+        ids = [*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]]
         return self._short(ids) if len(ids) < 48 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        rank, none = self.rank, (1 << 60, 0)
-        while len(ids) > 1:
-            (_, new), at = min((rank.get(p, none), i) for i, p in enumerate(pairwise(ids)))
-            if not new and (ids[at], ids[at + 1]) not in rank:
-                break
-            ids[at : at + 2] = [new]
+        get = self.rank.get
+        ranks = [get(a << _ID | b, _NEVER) for a, b in pairwise(ids)]
+        while ranks and (best := min(ranks)) != _NEVER:
+            i = ranks.index(best)
+            ids[i] = best & _MASK
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << _ID | ids[i], _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << _ID | ids[i + 1], _NEVER)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(*self.rank[p], i, p) for i, p in enumerate(pairwise(ids)) if p in self.rank]
-        heap = [(r, i, new, p) for r, new, i, p in heap]
+        heap = [(r, i, p) for i, (a, b) in enumerate(pairwise(ids)) if (r := self.rank.get(p := a << _ID | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            best, i, pair = heapq.heappop(heap)
             j = after[i]
-            if not alive[i] or j < 0 or (ids[i], ids[j]) != pair:
+            if not alive[i] or j < 0 or ids[i] << _ID | ids[j] != pair:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = best & _MASK, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a in (before[i], i):
-                if a >= 0 and after[a] >= 0 and (p := (ids[a], ids[after[a]])) in self.rank:
-                    r, made = self.rank[p]
-                    heapq.heappush(heap, (r, a, made, p))
+                if a >= 0 and after[a] >= 0 and (r := self.rank.get(p := ids[a] << _ID | ids[after[a]])) is not None:
+                    heapq.heappush(heap, (r, a, p))
         return [x for x, live in zip(ids, alive, strict=True) if live]
 
 
@@ -171,7 +175,10 @@ def _library(vocabulary: str):
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> list[str]:
-    """The most frequent words of all documents; equal counts by word."""
+    """The most frequent words of all documents, at most ``most``: all that occur so often that no more words do.
+
+    Only the number of words in each of some hundred classes of frequency goes to the driver to find that count.
+    """
 
     def run(parts) -> Iterator[dict]:
         tokenizer, counts = _library(vocabulary), Counter()
@@ -186,7 +193,15 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> lis
         yield {"word": [*counts], "n": [*counts.values()]}
 
     counted = map_slices(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = written(counted.where("n > 1"), "word-counts")
+    step = F.floor(F.log2("n") * 64).cast("int")
+    left, least = most, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        left -= r.words
+        if left < 0:
+            break
+        least = r.step
+    return [] if least is None else [r.word for r in counted.where(step >= least).select("word").collect()]
 
 
 def lexicon_file(spark: SparkSession, words: list[str], vocabulary: str) -> str:
@@ -228,9 +243,9 @@ class Codec:
                 continue
             words = lower_words(self.tokenizer, piece)
             if new := [w for w in set(words) if w not in known]:
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = set(words)
+                if len(known) + len(new) > REMEMBERED:  # the words met first are the frequent ones
+                    known = self.known = dict(islice(known.items(), REMEMBERED // 2))
+                    new = [w for w in set(words) if w not in known]
                 known.update((w, self._word(w)) for w in new)
             yield from map(known.__getitem__, words)
 
