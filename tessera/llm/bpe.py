@@ -21,6 +21,7 @@ import json
 import mmap
 import struct
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,7 +38,7 @@ from tessera.storage import scratch, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Most words in the lexicon, words a worker counts before it hands them on, words whose ids a worker remembers.
-LEXICON, COUNTED, REMEMBERED = 1 << 15, 200_000, 200_000
+LEXICON, COUNTED, REMEMBERED = 1 << 15, 200_000, 400_000
 _WORD_END = "</w>"
 _ID, _MASK, _NEVER = 20, (1 << 20) - 1, 1 << 60
 
@@ -226,31 +227,32 @@ class Codec:
         self.special = special_pattern(self.tokenizer)
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.token = {i: t for t, i in (self.merge.vocab | self.added).items()}
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.number = [str(i) for i in range(1 + max(self.token))]
+        self.known: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> tuple[list[int], str]:
+    def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogateescape")
         ids = self.lexicon.get(raw)
-        ids = self.merge(raw) if ids is None else ids
-        return ids, " ".join(map(str, ids))
-
-    def parts(self, text: str) -> Iterator[tuple[list[int], str]]:
-        """(ids, ids as text) of each word."""
-        known = self.known
-        for i, piece in enumerate(self.special.split(text) if "<|" in text else (text,)):
-            if i % 2:
-                yield [self.added[piece]], str(self.added[piece])
-                continue
-            words = lower_words(self.tokenizer, piece)
-            if new := [w for w in set(words) if w not in known]:
-                if len(known) + len(new) > REMEMBERED:  # the words met first are the frequent ones
-                    known = self.known = dict(islice(known.items(), REMEMBERED // 2))
-                    new = [w for w in set(words) if w not in known]
-                known.update((w, self._word(w)) for w in new)
-            yield from map(known.__getitem__, words)
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.parts(text) for i in ids]
+        return array("I", self.merge(raw) if ids is None else ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        words, known = lower_words(self.tokenizer, piece), self.known
+        if new := [w for w in set(words) if w not in known]:
+            if len(known) + len(new) > REMEMBERED:  # the words met first are the frequent ones
+                known = self.known = dict(islice(known.items(), REMEMBERED // 2))
+                new = [w for w in set(words) if w not in known]
+            known.update(zip(new, map(self._word, new), strict=True))
+        return b"".join(map(known.__getitem__, words))
+
+    def encode(self, text: str) -> np.ndarray:
+        if "<|" not in text:
+            return np.frombuffer(self._piece(text), np.uint32)
+        pieces = self.special.split(text)
+        return np.frombuffer(b"".join(array("I", [self.added[p]]).tobytes() if i % 2 else self._piece(p) for i, p in enumerate(pieces)), np.uint32)
+
+    def shown(self, ids: list[int]) -> str:
+        """The ids as text."""
+        return " ".join(map(self.number.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.token.__getitem__, ids))
@@ -263,26 +265,28 @@ def codec(vocabulary: str, name: str) -> Codec:
         return Codec(vocabulary, Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
 
 
-def encode(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document."""
+def encode(docs: DataFrame, vocabulary: str, most: int = LEXICON, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (if wanted), ids_sha256, decoded_sha256 of every document."""
     name = lexicon_file(docs.sparkSession, frequent_words(docs, vocabulary, most), vocabulary)
 
     def run(parts) -> Iterator[dict]:
         for part in parts:
-            own_codec = codec(vocabulary, name)
-            ids, shown, decoded = [], [], []
+            own = codec(vocabulary, name)
+            out = {"doc_id": part["doc_id"], "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
             for text in texts(part):
-                words = list(own_codec.parts(text))
-                own = [i for x, _ in words for i in x]
-                ids.append(own)
-                shown.append(hashlib.sha256(" ".join([s for _, s in words]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(own_codec.decode(own).encode()).hexdigest())
-            yield {"doc_id": part["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "ids_sha256": shown, "decoded_sha256": decoded}
+                ids = own.encode(text)
+                numbers = ids.tolist()
+                out["n_tokens"].append(len(ids))
+                out["ids"].append(ids)
+                out["ids_sha256"].append(hashlib.sha256(own.shown(numbers).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(own.decode(numbers).encode()).hexdigest())
+            yield out
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    ids = "ids array<int>, " if with_ids else ""
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).drop("ids")
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
