@@ -30,13 +30,13 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-def map_slices(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterable[dict[str, list]]], ddl: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterable[dict[str, list]]], ddl: str, column: str = "text", most: int = SLICE) -> DataFrame:
     """fn gets the slices of a partition and yields columns by name, in the order of the schema ``ddl``."""
     schema = schema_of(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for columns in fn(part for batch in batches for part in slices(batch, column)):
+        for columns in fn(part for batch in batches for part in slices(batch, column, most)):
             made = (columns[f.name] for f in arrow)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 

@@ -39,6 +39,8 @@ from tessera.llm.textkit import Block, U, mix
 from tessera.storage import table, written
 
 LENGTH, GRAM = 200, 48
+#: Bytes whose anchors are sought at a time: some ten arrays of eight bytes for each.
+SURVEYED = 1 << 19
 #: Bits of a sort key that hold the position, suffixes of a reader in expectation, bytes of suffixes that a writer holds, occurrences from which an anchor is dealt further, and starts in one of its parts.
 PLACE, READER, HELD, COMMON, PART = 24, 65_536, 48 << 20, 20_000, 16
 
@@ -105,7 +107,7 @@ def survey(docs: DataFrame) -> DataFrame:
             cut = np.searchsorted(at, block.first[1:])
             yield {"doc_id": part["doc_id"], "key": [hashlib.sha256(x).digest() for x in raw], "n_bytes": [len(x) for x in raw], "anchors": [x.tolist() for x in np.split(h.view(np.int64), cut)] if raw else []}
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, key binary, n_bytes long, anchors array<long>")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, key binary, n_bytes long, anchors array<long>", most=SURVEYED)
 
 
 def common(a: bytes, b: bytes, h: int) -> int:
