@@ -38,7 +38,7 @@ from tessera.storage import scratch, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Most words in the lexicon, words a worker counts before it hands them on, words whose ids a worker remembers.
-LEXICON, COUNTED, REMEMBERED = 1 << 15, 200_000, 400_000
+LEXICON, COUNTED, REMEMBERED = 1 << 15, 100_000, 250_000
 _WORD_END = "</w>"
 _ID, _MASK, _NEVER = 20, (1 << 20) - 1, 1 << 60
 

@@ -22,6 +22,8 @@ from tessera.llm.batches import map_slices, texts
 from tessera.llm.textkit import sums_by
 
 BITS = 20
+#: Bytes of text whose features are sought at a time: some twenty arrays of eight bytes for each.
+FEATURED = 1 << 19
 #: Labelled rows that a model is fitted on, at most (in expectation).
 SAMPLE = 8_000
 
@@ -57,7 +59,7 @@ def gathered(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarra
             found, starts = features(texts(part))
             yield {"doc_id": part["doc_id"], "label": part["label"], "found": [found[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]}
 
-    got = sorted(map_slices(rows.select("doc_id", "text", "label"), run, "doc_id long, label int, found binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["found"]))
+    got = sorted(map_slices(rows.select("doc_id", "text", "label"), run, "doc_id long, label int, found binary", most=FEATURED).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["found"]))
     own = [np.frombuffer(r["found"], np.int32) for r in got]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
     return np.array([r["doc_id"] for r in got], np.int64), np.array([r["label"] for r in got], np.int8), np.concatenate(own or [np.zeros(0, np.int32)]), starts
@@ -113,7 +115,7 @@ def scored(docs: DataFrame, features: Features, model: dict, at: float) -> DataF
             yield {"doc_id": part["doc_id"], "held_out": part["held_out"], "score": score, "predicted": (score >= at).astype(np.int32)}
 
     own = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_slices(own, run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_slices(own, run, "doc_id long, held_out boolean, score double, predicted int", most=FEATURED)
 
 
 def score_texts(own: list[str], features: Features, model: dict) -> np.ndarray:
@@ -134,4 +136,4 @@ def kept(docs: DataFrame, features: Features, model: dict, at: float) -> DataFra
             chosen = part.filter(stay.tolist()) if len(stay) else part
             yield {n: chosen[i] for i, n in enumerate(names)}
 
-    return map_slices(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_slices(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), most=FEATURED)
