@@ -227,12 +227,12 @@ def slice_view(spark, sf):
 
 def _line_graph(spark, sf):
     d, r = written(A.line_definitions(spark, sf), "line-defs"), written(A.line_references(spark, sf), "line-refs")
-    return d, r, graph.edges(d, r)
+    return d, r, written(graph.shares(d, graph.weighted_uses(d, r)), "line-shares")
 
 
 @query(f"WITH {D.LINE_DEFS}, {D.LINE_REFS}, {D.EDGES} SELECT src, dst, round(sum(weight), 6) AS w, count(*) AS idents FROM edges GROUP BY src, dst")
 def graph_edges(spark, sf):
-    return _line_graph(spark, sf)[2].groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("w"), F.count("*").alias("idents"))
+    return graph.edges(A.line_definitions(spark, sf), A.line_references(spark, sf)).groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("w"), F.count("*").alias("idents"))
 
 
 @query(f"WITH {D.SYMBOLS}, {D.IDENTS}, defs AS (SELECT DISTINCT name, path FROM symbols), refs AS (SELECT * FROM idents), {D.USED} SELECT name, rf FROM kept")
@@ -244,7 +244,7 @@ def ambient_cutoff(spark, sf):
 @query(f"WITH {D.LINE_DEFS}, {D.LINE_REFS}, {D.EDGES}, {D.pagerank(STEPS)} SELECT node, round(rank, 8) AS rank FROM r{STEPS}")
 def pagerank_fixed(spark, sf):
     d, r, e = _line_graph(spark, sf)
-    return graph.pagerank(graph.graph_nodes(d, r), graph.collapsed(e), max_iter=STEPS, tol=0.0).select("node", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(graph.graph_nodes(d, r), d, e, max_iter=STEPS, tol=0.0).select("node", F.round("rank", 8).alias("rank"))
 
 
 _FOCUS = ("c1", "c10", "c100")
@@ -253,14 +253,13 @@ _FOCUS = ("c1", "c10", "c100")
 @query(f"WITH {D.LINE_DEFS}, {D.LINE_REFS}, {D.EDGES}, {D.pagerank(STEPS, f'node IN {_FOCUS}')} SELECT node, round(rank, 8) AS rank FROM r{STEPS}")
 def pagerank_personalized(spark, sf):
     d, r, e = _line_graph(spark, sf)
-    return graph.pagerank(graph.graph_nodes(d, r), graph.collapsed(e), _FOCUS, max_iter=STEPS, tol=0.0).select("node", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(graph.graph_nodes(d, r), d, e, _FOCUS, max_iter=STEPS, tol=0.0).select("node", F.round("rank", 8).alias("rank"))
 
 
 def _ranked(spark, sf):
     d, r, e = _line_graph(spark, sf)
-    e = written(e, "line-edges")
-    ranks = graph.pagerank(graph.graph_nodes(d, r), graph.collapsed(e), max_iter=STEPS, tol=0.0)
-    return graph.definition_ranks(ranks, e).withColumn("score", F.round("score", 8))
+    ranks = written(graph.pagerank(graph.graph_nodes(d, r), d, e, max_iter=STEPS, tol=0.0), "line-ranks")
+    return graph.definition_ranks(ranks, d, e).withColumn("score", F.round("score", 8))
 
 
 _RANKED = f"""{D.LINE_DEFS}, {D.LINE_REFS}, {D.EDGES}, {D.pagerank(STEPS)},

@@ -131,8 +131,8 @@ class Engine:
             kept = str(self.store / meta["version"] / "ranks")
             if os.path.exists(f"{kept}/_SUCCESS"):
                 return self.spark.read.schema("path string, name string, score double").parquet(kept)
-        e = graph.edges(definitions, references, mentions)
-        ranks = graph.definition_ranks(graph.pagerank(nodes, graph.collapsed(e), focus), e)
+        flow = graph.shares(definitions, graph.weighted_uses(definitions, references, mentions))
+        ranks = graph.definition_ranks(graph.pagerank(nodes, definitions, flow, focus), definitions, flow)
         if kept:
             ranks.write.mode("overwrite").parquet(kept)
             return self.spark.read.schema("path string, name string, score double").parquet(kept)

@@ -84,12 +84,47 @@ def test_graph_goldens(spark, tree):
         ("pkg/app.py", "pkg/core.py", "start_engine"): 1.832581, ("main.py", "pkg/app.py", "run_application"): 2.591662,
     }
     nodes = graph.graph_nodes(definitions, references)
+    flow = graph.shares(definitions, graph.weighted_uses(definitions, references))
     for kernel in (True, False):
-        ranks = {r.node: r["rank"] for r in graph.pagerank(nodes, graph.collapsed(e), kernel=kernel).collect()}
+        ranks = {r.node: r["rank"] for r in graph.pagerank(nodes, definitions, flow, kernel=kernel).collect()}
         assert sum(ranks.values()) == pytest.approx(1)
         assert {k: round(v, 6) for k, v in ranks.items()} == {"pkg/core.py": 0.474412, "pkg/app.py": 0.341171, "main.py": 0.184417}
 
 
+def test_ranks_flow_as_over_the_edges(spark):
+    """Factored ranks against those over expanded edges, in plain Python."""
+    import random
+
+    from tessera.operators import graph
+    from tessera.schema import DAMPING
+
+    rng = random.Random(3)
+    defined = {(f"name{rng.randrange(12)}", f"f{rng.randrange(9)}") for _ in range(30)}
+    used = {(f"f{rng.randrange(12)}", f"name{rng.randrange(14)}"): rng.randrange(1, 9) for _ in range(60)}
+    definitions = spark.createDataFrame(sorted(defined), "name string, path string")
+    references = spark.createDataFrame([(p, n, c) for (p, n), c in sorted(used.items())], "path string, name string, count long")
+    edges = graph.edges(definitions, references).collect()
+    out = {}
+    for e in edges:
+        out[e.src] = out.get(e.src, 0.0) + e.weight
+    nodes = sorted(r.node for r in graph.graph_nodes(definitions, references).collect())
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(7):
+        new = dict.fromkeys(nodes, 0.0)
+        for e in edges:
+            new[e.dst] += rank[e.src] * e.weight / out[e.src]
+        lost = sum(rank[n] for n in nodes if n not in out)
+        rank = {n: (1 - DAMPING) / len(nodes) + DAMPING * (new[n] + lost / len(nodes)) for n in nodes}
+    score = {}
+    for e in edges:
+        score[e.dst, e.ident] = score.get((e.dst, e.ident), 0.0) + rank[e.src] * e.weight / out[e.src]
+    flow = graph.shares(definitions, graph.weighted_uses(definitions, references))
+    for kernel in (True, False):
+        ranks = graph.pagerank(graph.graph_nodes(definitions, references), definitions, flow, max_iter=7, tol=0.0, kernel=kernel)
+        assert {r.node: r["rank"] for r in ranks.collect()} == pytest.approx(rank)
+        assert {(r.path, r.name): r.score for r in graph.definition_ranks(ranks, definitions, flow).collect()} == pytest.approx(score)
+
+
 def test_changes(spark, tmp_path):
     put(tmp_path, pkg__core_py=CORE, pkg__app_py=APP, main_py=MAIN)
     engine = Engine(spark, str(tmp_path))
