@@ -52,12 +52,18 @@ def quantised(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, n
     return {n: v for n, v in out.items() if len(v[0])}
 
 
-def exact(*arrays: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The arrays in the narrowest type in which their inner products are exact."""
-    most = math.prod(max(1.0, float(np.abs(a).max(initial=0))) for a in arrays[:2]) * max(1, arrays[0].shape[1])
-    if most < 1 << 53:
-        return tuple(a.astype(np.float32 if most < 1 << 24 else np.float64) for a in arrays)
-    return tuple(np.array([[int(x) for x in row] for row in a], object).reshape(a.shape) for a in arrays)
+def exact_kind(a: np.ndarray, b: np.ndarray) -> type:
+    """The narrowest type in which the inner products of whole numbers are exact."""
+    most = float(np.abs(a).max(initial=1)) * float(np.abs(b).max(initial=1)) * max(1, a.shape[1])
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
+
+
+def to_kind(a: np.ndarray, kind: type) -> np.ndarray:
+    if kind is not object:
+        return a.astype(kind)
+    out = np.empty(a.shape, object)
+    out.ravel()[:] = [int(x) for x in a.ravel()]
+    return out
 
 
 class Tree:
@@ -78,14 +84,14 @@ class Tree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the query, vec_id, score) of all that may be among a query's best k. kth: the score below which nothing counts."""
-        queries, low, high = exact(queries, np.concatenate([self.low, self.high]))[0], *exact(self.low, self.high, queries)[:2]
-        wide = np.result_type(queries, low)
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        bound = up.astype(wide) @ high.T.astype(wide) + down.astype(wide) @ low.T.astype(wide)
-        order = np.argsort(-bound.astype(np.float64), axis=1, kind="stable")
-        best = np.full((len(queries), k), -np.inf if wide != object else -(1 << 200), dtype=object if wide == object else np.float64)
-        best[:, 0] = kth  # the lowest of the best; filled from the sample
-        floor, active, out = kth.copy(), np.arange(len(queries)), []
+        kind = exact_kind(queries, np.concatenate([self.low, self.high]))
+        queries, low, high = (to_kind(x, kind) for x in (queries, self.low, self.high))
+        bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        none = -(1 << 200) if kind is object else -np.inf
+        floor = np.array([none if x == -np.inf else int(x) for x in kth], object) if kind is object else kth.copy()
+        best = np.full((len(queries), k), none, dtype=object if kind is object else np.float64)
+        active, out = np.arange(len(queries)), []
         for turn in range(len(self.leaves)):
             leaf = order[active, turn]
             active = active[bound[active, leaf] >= floor[active]]
@@ -95,19 +101,19 @@ class Tree:
             for n in np.unique(leaf).tolist():
                 who = active[leaf == n]
                 ids, points = self.leaves[n]
-                scores = queries[who].astype(wide) @ points.astype(wide).T
+                scores = queries[who] @ to_kind(points, kind).T
                 hit = (scores >= floor[who][:, None]) & (ids[None, :] != query_ids[who][:, None])
                 rows, columns = np.nonzero(hit)
                 if len(rows):
                     out.append((who[rows], ids[columns], scores[rows, columns]))
-                    shown = np.where(hit, scores, best[who].min(axis=1)[:, None] if wide == object else -np.inf)
+                    shown = np.where(hit, scores, none)
                     top = np.sort(np.concatenate([best[who], shown], axis=1), axis=1)[:, -k:]
                     best[who] = top
                     floor[who] = np.maximum(floor[who], top[:, 0])
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         who, ids, scores = (np.concatenate(x) for x in zip(*out, strict=True))
-        rank = np.lexsort((ids, -scores.astype(np.float64) if wide != object else -scores, who)) if wide != object else np.array(sorted(range(len(who)), key=lambda i: (who[i], -scores[i], ids[i])))
+        rank = np.lexsort((ids, -scores, who)) if kind is not object else np.array(sorted(range(len(who)), key=lambda i: (who[i], -scores[i], ids[i])))
         who, ids, scores = who[rank], ids[rank], scores[rank]
         place = np.arange(len(who)) - np.searchsorted(who, who)
         return who[place < k], ids[place < k], scores[place < k]
@@ -140,9 +146,9 @@ def first_scores(ids: np.ndarray, queries: np.ndarray, sample: tuple | None, k:
     """Each query's kth score within the sample, minus infinity where it has fewer."""
     out = np.full(len(ids), -np.inf)
     if sample is not None and len(sample[0]) > k:
-        q, p = exact(queries, sample[1])
-        if q.dtype == object:
-            return out
+        if (kind := exact_kind(queries, sample[1])) is object:
+            return out  # a bound is no need, and a rounded one would be wrong
+        q, p = to_kind(queries, kind), to_kind(sample[1], kind)
         for a in range(0, len(ids), TOGETHER):
             scores = (q[a : a + TOGETHER] @ p.T).astype(np.float64)
             scores[ids[a : a + TOGETHER, None] == sample[0][None, :]] = -np.inf
