@@ -104,6 +104,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab().values()) < 1 << 16 else 4
         self.special = special_pattern(self.tokenizer)
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids  # of a byte that no other word has
         self.known: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
@@ -113,15 +114,16 @@ class Encoder:
         """One call for all new words: a line break between two words is a word of its own and leaves both as they are."""
         solid = [w for w in words if not w.isspace()]
         self.known.update((w, self._library(w)) for w in words if w.isspace())
-        got = self.tokenizer.encode("\n".join(solid), add_special_tokens=False)
-        ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=2 * len(solid) - 1)) * self.width if solid else []
-        if len(ends) != max(0, 2 * len(solid) - 1):
+        if not solid:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(solid)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        cuts = np.flatnonzero(ids == self.line)
+        if len(cuts) != len(solid) - 1:
             raise ValueError("words were cut in another way")
-        data, at = np.array(got.ids, dtype=f"<u{self.width}").tobytes(), 0
-        for i, w in enumerate(solid):
-            end = int(ends[2 * i])
-            self.known[w] = data[at:end]
-            at = int(ends[2 * i + 1]) if i + 1 < len(solid) else end
+        data, at = ids.tobytes(), 0
+        for w, cut in zip(solid, [*(cuts * self.width).tolist(), len(data)], strict=True):
+            self.known[w] = data[at:cut]
+            at = cut + self.width
 
     def __call__(self, text: str) -> bytes:
         if not plain(text) or self.special.search(text):
