@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import shutil
+import sys
 import time
 from pathlib import Path
 
@@ -225,5 +226,17 @@ class Engine:
     def doctor(self) -> list[dict]:
         seen = repo.scan(self.spark, self.root).select("path", X.sha16(F.col("content")).alias("sha"), "mtime", "size")
         found = [r.asDict() for r in health.checks(self.table("files"), seen, self.table("symbols"), self.table("vectors")).collect()]
-        _, errors = repo.wiring(self.root)
-        return [*found, {"name": "wiring", "status": "warn" if errors else "ok", "n": len(errors)}]
+        patterns, errors = repo.wiring(self.root)
+        ways = {lang: "ast" if lang == "python" else "regex-fallback" for lang in sorted(set(S.LANG_BY_EXT.values()))}
+        by_git = repo.git_changes(self.root) is not None
+        row = lambda name, status, n, *details: {"name": name, "status": status, "n": n, "details": list(details)}
+        return [
+            *(f | {"details": []} for f in found),
+            row("python", "ok" if sys.version_info >= (3, 10) else "fail", sys.version_info[1], sys.version.split()[0]),
+            # patterns stand in for a parser; this is how the library works without grammars, and no fault of an index
+            row("languages", "ok", len(ways), *(f"{lang}: {way}" for lang, way in ways.items())),
+            row("ignore rules", "ok", len(rules := repo.ignore_patterns(self.root)), *rules),
+            row("wiring", "warn" if errors else "ok", len(patterns), *errors),
+            row("change detection", "ok", int(by_git), "git status" if by_git else f"mtime window {S.SINCE_HOURS:g}h"),
+            row("rank cache", "ok", int(bool(self._meta()) and os.path.exists(self.store / self._meta()["version"] / "ranks" / "_SUCCESS"))),
+        ]

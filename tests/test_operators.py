@@ -94,3 +94,30 @@ def test_fusion_and_polish(spark):
     assert [(r.path, r.score) for r in search.polish(hits(("tests/a", 1, 2.0), ("src/a", 1, 1.5)), symbols).collect()] == [("src/a", 1.5)]
     with pytest.raises(ValueError):
         search.polish(hits(), symbols, 0)
+
+
+@pytest.mark.parametrize("language", ["csharp", "typescript", "go"])
+@pytest.mark.skip(reason="no grammar packages here: these languages are read by patterns and lexically")
+def test_precise_extraction(language):
+    """Kinds and references as a grammar gives them (methods, constructors, enums, heritage, no parameter names)."""
+
+
+def test_lexical_fallback(spark):
+    files = spark.createDataFrame([("x.lua", "local x = compute_stuff(1)")], "path string, text string")
+    assert "compute_stuff" in {r.name for r in extract.lexical_idents(files).collect()}
+
+
+def test_telemetry_log(spark, tmp_path, monkeypatch):
+    from tessera.operators import telemetry
+
+    path = str(tmp_path / "log" / "q.jsonl")
+    telemetry.append(path, "search", {"query": "x"}, "(no results)")
+    assert not (tmp_path / "log").exists()
+    monkeypatch.setenv(telemetry.ENABLED, "1")
+    telemetry.append(path, "search", {"query": "x"}, "(no results)")
+    telemetry.append(path, "defs", {"name": "y"}, "defined in: z")
+    with open(path, "a") as f:
+        f.write("broken\n")
+    log = telemetry.read(spark, path)
+    assert {(r.cmd, r.calls, r.empties) for r in telemetry.by_command(log).collect()} == {("search", 1, 1), ("defs", 1, 0)}
+    assert [(r["query"], r.n) for r in telemetry.top_queries(log).collect()] == [("x", 1)]
