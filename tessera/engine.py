@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators import changes, extract, graph, health, impact, navigate, rankmap, search, telemetry
+from tessera.operators import braces, changes, extract, graph, health, impact, navigate, rankmap, search, telemetry
 from tessera.sources import repo
 
-VERSION = "1"
+VERSION = "2"
 TABLES = {"files": S.FILES, "symbols": S.SYMBOLS, "idents": S.IDENTS, "postings": "path string, line int, name string, dl int, term string, tf long", "vectors": S.VECTORS}
 
 
@@ -227,13 +227,13 @@ class Engine:
         seen = repo.scan(self.spark, self.root).select("path", X.sha16(F.col("content")).alias("sha"), "mtime", "size")
         found = [r.asDict() for r in health.checks(self.table("files"), seen, self.table("symbols"), self.table("vectors")).collect()]
         patterns, errors = repo.wiring(self.root)
-        ways = {lang: "ast" if lang == "python" else "regex-fallback" for lang in sorted(set(S.LANG_BY_EXT.values()))}
+        ways = {lang: "ast" if lang == "python" else "tokens" if lang in braces.INTRODUCES else "regex-fallback" for lang in sorted(set(S.LANG_BY_EXT.values()))}
         by_git = repo.git_changes(self.root) is not None
         row = lambda name, status, n, *details: {"name": name, "status": status, "n": n, "details": list(details)}
         return [
             *(f | {"details": []} for f in found),
             row("python", "ok" if sys.version_info >= (3, 10) else "fail", sys.version_info[1], sys.version.split()[0]),
-            # patterns stand in for a parser; this is how the library works without grammars, and no fault of an index
+            # tokens and patterns stand in for a parser; this is how the library works without grammars, and no fault of an index
             row("languages", "ok", len(ways), *(f"{lang}: {way}" for lang, way in ways.items())),
             row("ignore rules", "ok", len(rules := repo.ignore_patterns(self.root)), *rules),
             row("wiring", "warn" if errors else "ok", len(patterns), *errors),

@@ -1,4 +1,4 @@
-"""Definitions and references from text: lexical, by regular expressions, and by a parser for Python."""
+"""Definitions and references from text: lexical, by regular expressions, by a parser for Python and over tokens for languages of braces."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import braces
 from tessera.schema import FALLBACK, IDENTS_PER_FILE, LONGEST_LINE, SAMPLED_BYTES, SIGNATURE, STOPWORDS
 
 
@@ -81,31 +82,38 @@ def parse_python(source: str) -> tuple[list[tuple], Counter] | None:
     return sorted(symbols.values(), key=lambda s: s[2]), Counter(dict(refs.most_common(IDENTS_PER_FILE)))
 
 
+def parse(lang: str, text: str | None) -> tuple[list[tuple], Counter | None] | None:
+    """(symbols, references) by the language's own way; references are None where the lexical count must do, all is None where it has no way."""
+    if text is None:
+        return None
+    return parse_python(text) if lang == "python" else braces.parse(lang, text) if lang in braces.INTRODUCES else None
+
+
 def parsed(files: DataFrame) -> DataFrame:
-    """files: (path, lang, text). path, symbols, idents of what the parser understands; ok is false where another way must do."""
+    """files: (path, lang, text). path, symbols, idents as :func:`parse` gives them; ok and counted are false where patterns and the lexical count must do."""
     item = "array<struct<name:string,kind:string,line:int,end_line:int,signature:string>>"
 
     def run(frames) -> Iterator:
         for frame in frames:
-            got = [parse_python(t) if lang == "python" else None for lang, t in zip(frame["lang"], frame["text"], strict=True)]
+            got = [parse(lang, t) for lang, t in zip(frame["lang"], frame["text"], strict=True)]
             out = frame[["path"]].copy()
             out["ok"] = [g is not None for g in got]
+            out["counted"] = [g is not None and g[1] is not None for g in got]
             out["symbols"] = [[dict(zip(("name", "kind", "line", "end_line", "signature"), s, strict=True)) for s in g[0]] if g else [] for g in got]
-            out["idents"] = [[{"name": n, "count": c} for n, c in g[1].items()] if g else [] for g in got]
+            out["idents"] = [[{"name": n, "count": c} for n, c in g[1].items()] if g and g[1] is not None else [] for g in got]
             yield out
 
-    return files.select("path", "lang", "text").mapInPandas(run, f"path string, ok boolean, symbols {item}, idents array<struct<name:string,count:bigint>>")
+    return files.select("path", "lang", "text").mapInPandas(run, f"path string, ok boolean, counted boolean, symbols {item}, idents array<struct<name:string,count:bigint>>")
 
 
 def extract(files: DataFrame, patterns: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """files: (path, lang, content binary). (symbols, idents); generated files give none."""
     usable = files.where(~looks_generated(F.col("content"))).select("path", "lang", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), "content")
     usable = usable.select("path", "lang", F.coalesce("text", F.decode("content", "ISO-8859-1")).alias("text"))
-    ast_rows = parsed(usable.where("lang = 'python'")).where("ok").cache()
-    rest = usable.join(ast_rows.select("path"), "path", "left_anti")
-    symbols = ast_rows.select("path", F.posexplode("symbols").alias("seq", "s")).select("path", "s.name", "s.kind", "s.line", "s.end_line", "s.signature", "seq")
-    symbols = symbols.unionByName(regex_symbols(rest))
-    idents = ast_rows.select("path", F.explode("idents").alias("i")).select("path", "i.name", "i.count")
-    idents = idents.unionByName(most_common(lexical_idents(rest)).drop("first"))
+    own = parsed(usable.where(F.col("lang").isin("python", *braces.INTRODUCES))).where("ok").cache()
+    symbols = own.select("path", F.posexplode("symbols").alias("seq", "s")).select("path", "s.name", "s.kind", "s.line", "s.end_line", "s.signature", "seq")
+    symbols = symbols.unionByName(regex_symbols(usable.join(own.select("path"), "path", "left_anti")))
+    idents = own.select("path", F.explode("idents").alias("i")).select("path", "i.name", "i.count")
+    idents = idents.unionByName(most_common(lexical_idents(usable.join(own.where("counted").select("path"), "path", "left_anti"))).drop("first"))
     idents = idents.unionByName(wiring_idents(usable, patterns)).groupBy("path", "name").agg(F.sum("count").alias("count"))
     return symbols, idents

@@ -1,10 +1,12 @@
 """Operators on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import changes, extract, navigate, rankmap, search
+from tessera.operators import braces, changes, extract, navigate, rankmap, search
 from tessera.sources import repo
 
 
@@ -96,10 +98,130 @@ def test_fusion_and_polish(spark):
         search.polish(hits(), symbols, 0)
 
 
-@pytest.mark.parametrize("language", ["csharp", "typescript", "go"])
-@pytest.mark.skip(reason="no grammar packages here: these languages are read by patterns and lexically")
-def test_precise_extraction(language):
-    """Kinds and references as a grammar gives them (methods, constructors, enums, heritage, no parameter names)."""
+CSHARP = """public class GameManager : MonoBehaviour {
+    [SerializeField] private HealthBar healthBar;
+    public int Score { get; set; }
+    public GameManager(Config config) { }
+    void Start() {
+        var spawner = new EnemySpawner();
+        spawner.SpawnWave(3);
+        Utils.Log("EnemySpawner inside a string");
+    }
+}
+public interface IDamageable { }
+public enum GamePhase { Menu, Play }
+"""
+TYPESCRIPT = """import { fetchUser } from './api';
+export interface UserProfile { id: number; }
+type ProfileMap = Record<string, UserProfile>;
+export class ProfileStore {
+    private cache: ProfileMap = {};
+    async loadProfile(id: number): Promise<UserProfile> {
+        return fetchUser(id);
+    }
+}
+const renderCard = (p: UserProfile) => p.id;
+"""
+GO = """package engine
+type Engine struct{ fuel int }
+type Starter interface{ Start() }
+func NewEngine() *Engine { return &Engine{} }
+func (e *Engine) Start() {
+    prepareFuel(e)
+}
+func prepareFuel(e *Engine) {}
+"""
+JAVA = """public class Store extends Origin {
+  public Store() { }
+  @Override
+  public List<Item> loadAll(Query query) throws IOException {
+    return Helper.fetchItems(query, new Page<>());
+  }
+  abstract void stop();
+}
+"""
+RUST = """#[derive(Debug)]
+pub struct Point<'a> { x: &'a str }
+impl<'a> Point<'a> {
+  pub fn make(x: &'a str) -> Point<'a> { println!("}} {}", x); helper_call(x) }
+}
+trait Shape { fn area(&self) -> f64; }
+"""
+C = """#define M(x) {
+typedef struct {
+  int a;
+} point_t;
+struct node { struct node *next; };
+int declared(int);
+static int add_nodes(point_t *left, int b) {
+  return compute_sum(left->a, b);
+}
+"""
+CPP = """namespace n {
+class Widget : public Origin { void draw() { render_it(); } };
+void Widget::resize(int w) const {
+  helper_fn(w);
+}
+}
+"""
+PHP = """<html>it's {</html><?php
+class Circle implements Shape {
+  public function area() { return 3; } # it's
+}
+function make_circle() { return new Circle(); }
+?><p>{</p>"""
+SCRIPT = """class A extends Origin {
+  run(x) { return /[{'"]/.test(x); }
+}
+export default function start() { start_all(`a${1}`); }
+const later = async function () {
+  run_it();
+};
+"""
+
+
+@pytest.mark.parametrize(("lang", "text", "symbols", "counted", "absent"), [
+    ("csharp", CSHARP, {("GameManager", "class", 1, 10), ("Score", "method", 3, 3), ("GameManager", "method", 4, 4), ("Start", "method", 5, 9), ("IDamageable", "class", 11, 11), ("GamePhase", "type", 12, 12)},
+     {"MonoBehaviour": 1, "SerializeField": 1, "EnemySpawner": 1, "SpawnWave": 1, "HealthBar": 1, "Config": 1}, ("healthBar", "spawner")),
+    ("typescript", TYPESCRIPT, {("UserProfile", "type", 2, 2), ("ProfileMap", "type", 3, 3), ("ProfileStore", "class", 4, 9), ("loadProfile", "method", 6, 8), ("renderCard", "function", 10, 10)}, {"fetchUser": 2, "UserProfile": 4}, ("cache",)),
+    ("go", GO, {("Engine", "type", 2, 2), ("Starter", "type", 3, 3), ("NewEngine", "function", 4, 4), ("Start", "method", 5, 7), ("prepareFuel", "function", 8, 8)}, {"prepareFuel": 1, "Engine": 5}, ("fuel", "Start")),
+    ("java", JAVA, {("Store", "class", 1, 8), ("loadAll", "method", 3, 6), ("stop", "method", 7, 7)}, {"Origin": 1, "Item": 1, "Query": 1, "fetchItems": 1, "Page": 1}, ("Store", "query")),
+    ("rust", RUST, {("Point", "type", 2, 2), ("make", "function", 4, 4), ("Shape", "type", 6, 6)}, {"println": 1, "helper_call": 1, "Point": 3}, ("derive", "area")),
+    ("c", C, {("point_t", "type", 2, 4), ("node", "type", 5, 5), ("add_nodes", "function", 7, 9)}, {"point_t": 2, "compute_sum": 1}, ("left", "declared")),
+    ("cpp", CPP, {("Widget", "class", 2, 2), ("resize", "method", 3, 5)}, {"render_it": 1, "helper_fn": 1}, ("resize", "draw")),
+    ("php", PHP, {("Circle", "class", 2, 4), ("area", "method", 3, 3), ("make_circle", "function", 5, 5)}, None, ()),
+    ("javascript", SCRIPT, {("A", "class", 1, 3), ("run", "method", 2, 2), ("start", "function", 4, 4), ("later", "function", 5, 7)}, {"Origin": 1, "start_all": 1, "run_it": 1, "test": 1}, ("later",)),
+])
+def test_languages_of_braces(lang, text, symbols, counted, absent):
+    found, refs = braces.parse(lang, text)
+    assert {s[:4] for s in found} == symbols
+    if counted is None:
+        assert refs is None
+    else:
+        assert {n: refs[n] for n in counted} == counted and not set(absent) & set(refs)
+
+
+def test_languages_of_braces_on_any_text():
+    rng, pieces = random.Random(1), list("(){}[]<>;:,.=*&'\"`/#!?\n@") + ["=>", "::", " x ", " Name ", " é ", "*/", "/*", "//", "<?php "] + sorted(braces.WORDS)
+    for lang in braces.INTRODUCES:
+        assert braces.parse(lang, "{") is None or lang == "php"
+        assert braces.parse(lang, "")[0] == []
+        for n in range(1500):
+            text = " ".join(rng.choice(pieces) for _ in range(n % 40))
+            for t in (text, text + "}" * text.count("{")):
+                got = braces.parse(lang, t)
+                assert got is None or all(1 <= a <= b <= t.count("\n") + 1 for _, _, a, b, _ in got[0])
+
+
+def test_extract_takes_each_language_its_way(spark):
+    rows = [("a.cs", "csharp", CSHARP), ("b.php", "php", PHP), ("c.go", "go", "func open_it() {\n"), ("d.lua", "lua", "local x = compute_stuff(1)"), ("e.py", "python", "def f_one(): pass")]
+    files = spark.createDataFrame([(p, lang, t.encode()) for p, lang, t in rows] + [("f.go", "go", None)], "path string, lang string, content binary")
+    symbols, idents = extract.extract(files)
+    got = {(r.path, r.name, r.kind) for r in symbols.collect()}
+    assert {("a.cs", "Score", "method"), ("b.php", "area", "method"), ("c.go", "open_it", "function"), ("e.py", "f_one", "function")} <= got
+    refs = {(r.path, r.name): r["count"] for r in idents.collect()}
+    assert refs["a.cs", "HealthBar"] == 1 and ("a.cs", "healthBar") not in refs
+    assert refs["b.php", "Circle"] == 2 and refs["c.go", "open_it"] == 1 and refs["d.lua", "compute_stuff"] == 1
 
 
 def test_lexical_fallback(spark):
