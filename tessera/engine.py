@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators import braces, changes, extract, graph, health, impact, navigate, rankmap, search, telemetry
+from tessera.operators import changes, extract, graph, health, impact, navigate, rankmap, search, telemetry
 from tessera.sources import repo
 
 VERSION = "2"
@@ -227,7 +227,7 @@ class Engine:
         seen = repo.scan(self.spark, self.root).select("path", X.sha16(F.col("content")).alias("sha"), "mtime", "size")
         found = [r.asDict() for r in health.checks(self.table("files"), seen, self.table("symbols"), self.table("vectors")).collect()]
         patterns, errors = repo.wiring(self.root)
-        ways = {lang: "ast" if lang == "python" else "tokens" if lang in braces.INTRODUCES else "regex-fallback" for lang in sorted(set(S.LANG_BY_EXT.values()))}
+        ways = {lang: "ast" if lang == "python" else "tokens" if lang in extract.OWN_WAY else "regex-fallback" for lang in sorted(set(S.LANG_BY_EXT.values()))}
         by_git = repo.git_changes(self.root) is not None
         row = lambda name, status, n, *details: {"name": name, "status": status, "n": n, "details": list(details)}
         return [

@@ -1,4 +1,4 @@
-"""Definitions and references from text: lexical, by regular expressions, by a parser for Python and over tokens for languages of braces."""
+"""Definitions and references from text: lexical, by regular expressions, by a parser for Python and over tokens for others."""
 
 from __future__ import annotations
 
@@ -11,9 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import braces
+from tessera.operators import braces, ends
 from tessera.schema import FALLBACK, IDENTS_PER_FILE, LONGEST_LINE, SAMPLED_BYTES, SIGNATURE, STOPWORDS
 
+#: Languages that :func:`parse` understands.
+OWN_WAY = ("python", "ruby", *braces.INTRODUCES)
+
 
 def looks_generated(content: F.Column) -> F.Column:
     """Any line of more than 1,000 bytes in the first 64 KiB of binary content."""
@@ -86,7 +89,9 @@ def parse(lang: str, text: str | None) -> tuple[list[tuple], Counter | None] | N
     """(symbols, references) by the language's own way; references are None where the lexical count must do, all is None where it has no way."""
     if text is None:
         return None
-    return parse_python(text) if lang == "python" else braces.parse(lang, text) if lang in braces.INTRODUCES else None
+    if lang in braces.INTRODUCES:
+        return braces.parse(lang, text)
+    return parse_python(text) if lang == "python" else ends.parse(text) if lang == "ruby" else None
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -110,7 +115,7 @@ def extract(files: DataFrame, patterns: Sequence[str] = ()) -> tuple[DataFrame,
     """files: (path, lang, content binary). (symbols, idents); generated files give none."""
     usable = files.where(~looks_generated(F.col("content"))).select("path", "lang", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), "content")
     usable = usable.select("path", "lang", F.coalesce("text", F.decode("content", "ISO-8859-1")).alias("text"))
-    own = parsed(usable.where(F.col("lang").isin("python", *braces.INTRODUCES))).where("ok").cache()
+    own = parsed(usable.where(F.col("lang").isin(*OWN_WAY))).where("ok").cache()
     symbols = own.select("path", F.posexplode("symbols").alias("seq", "s")).select("path", "s.name", "s.kind", "s.line", "s.end_line", "s.signature", "seq")
     symbols = symbols.unionByName(regex_symbols(usable.join(own.select("path"), "path", "left_anti")))
     idents = own.select("path", F.explode("idents").alias("i")).select("path", "i.name", "i.count")

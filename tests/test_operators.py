@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import braces, changes, extract, navigate, rankmap, search
+from tessera.operators import braces, changes, ends, extract, navigate, rankmap, search
 from tessera.sources import repo
 
 
@@ -201,6 +201,50 @@ def test_languages_of_braces(lang, text, symbols, counted, absent):
         assert {n: refs[n] for n in counted} == counted and not set(absent) & set(refs)
 
 
+RUBY = """module Store
+  class Item < Origin::Root
+    attr_reader :name # don't
+    def initialize(name)
+      @name = "it's #{name}"
+      return unless name
+      x = if name then 1 else 2 end
+    end
+    def self.build(list)
+      list.each do |row|
+        while row do row.step_on end
+        make_item(row) if row.valid?
+      end
+      text = run_sql(<<~SQL)
+        select end
+      SQL
+    end
+    def short(a) = compute_it(a)
+    def name=(v)
+      @name = v
+    end
+  end
+end
+"""
+
+
+def test_ruby():
+    found, refs = ends.parse(RUBY)
+    assert [s[:4] for s in found] == [("Store", "class", 1, 23), ("Item", "class", 2, 22), ("initialize", "method", 4, 8), ("build", "method", 9, 17), ("short", "method", 18, 18), ("name", "method", 19, 21)]
+    assert found[3][4] == "def self.build(list)"
+    assert {n: refs[n] for n in ("Origin", "Root", "step_on", "make_item", "compute_it", "run_sql")} == dict.fromkeys(("Origin", "Root", "step_on", "make_item", "compute_it", "run_sql"), 1)
+    assert "initialize" not in refs and "short" not in refs
+    assert ends.parse("def x") is None and ends.parse("end") is None and ends.parse("") == ([], {})
+
+
+def test_ruby_on_any_text():
+    rng, pieces = random.Random(2), [*"(){}[];:,.=*&'\"`/#\n@", "<<~", " SQL", " x ", " Name ", " def ", " self.", "\n=begin", "\n=end", *sorted(ends.WORDS)]
+    for n in range(4000):
+        text = " ".join(rng.choice(pieces) for _ in range(n % 30))
+        for k in range(3):
+            got = ends.parse(text + " end" * k)
+            assert got is None or all(1 <= a <= b <= text.count("\n") + 1 for _, _, a, b, _ in got[0])
+
+
 def test_languages_of_braces_on_any_text():
     rng, pieces = random.Random(1), list("(){}[]<>;:,.=*&'\"`/#!?\n@") + ["=>", "::", " x ", " Name ", " é ", "*/", "/*", "//", "<?php "] + sorted(braces.WORDS)
     for lang in braces.INTRODUCES:
