@@ -17,7 +17,8 @@ documents of similarity ``SIMILAR`` or more (copies count).
 
 Words lie between white space, with ASCII letters lowered. Defined cases: a text of one to four words is
 one shingle; a null, empty or blank text has no shingles, no links and is its own class; repeated rows are
-copies; classes of rows without doc_id have a null class_id; an empty table gives no rows.
+copies; rows that share a doc_id but not their text are documents of their own; classes of rows without
+doc_id have a null class_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def band_hashes(found: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
 
 
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1, k2, size and bands of every document; keys and bands are null where there is no shingle."""
+    """doc_id, mark (a hash of the text), k1, k2, size and bands of every document; keys and bands are null where there is no shingle."""
 
     def run(parts) -> Iterator[dict]:
         for part in parts:
@@ -85,9 +86,10 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             if len(full):
                 own[full] = list(band_hashes(found, np.append(starts[full], len(found)), bands, rows))
             none = size == 0
-            yield {"doc_id": part["doc_id"], "k1": pa.array(k1, mask=none), "k2": pa.array(k2, mask=none), "size": size, "bands": own.tolist()}
+            yield {"doc_id": part["doc_id"], "mark": part["mark"], "k1": pa.array(k1, mask=none), "k2": pa.array(k2, mask=none), "size": size, "bands": own.tolist()}
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, k1 long, k2 long, size long, bands array<long>")
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    return map_slices(own, run, "doc_id long, mark long, k1 long, k2 long, size long, bands array<long>")
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -157,9 +159,10 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
     """k1, k2, links and the node r1, r2 that it hangs together with, for each task in which a node has links."""
     members = shared_buckets(nodes)
     per_node = members.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "chunks")).alias("own"))
-    wanted = per_node.join(nodes.select("k1", "k2", "rep", "copies"), ["k1", "k2"])
+    wanted = per_node.join(nodes.select("k1", "k2", "rep", "rep_mark", "copies"), ["k1", "k2"])
+    # by the text's hash too: rows without doc_id, or with one that others carry, meet only themselves
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = text.join(wanted, text["doc_id"].eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    rows = text.join(wanted, text["doc_id"].eqNullSafe(F.col("rep")) & (F.xxhash64(text["text"]) == F.col("rep_mark"))).drop("doc_id", "rep", "rep_mark")
     rows = rows.withColumn("buckets", F.col("own.bucket")).select("k1", "k2", "copies", "text", "buckets", F.explode("own").alias("at"))
     rows = rows.select("k1", "k2", "copies", "text", "buckets", F.col("at.bucket").alias("bucket"), "at.chunks")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2", "bucket"), F.col("chunks")).cast("int"))
@@ -168,9 +171,7 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k1", "k2")
     schema = schema_of("k1 long, k2 long, links long, r1 long, r2 long")
 
-    def task(held: list[dict]) -> pa.RecordBatch | None:
-        distinct = {(r["k1"], r["k2"]): r for r in _own_text(held)}
-        own = list(distinct.values())
+    def task(own: list[dict]) -> pa.RecordBatch | None:
         if len(own) < 2:
             return None
         k1, k2, copies, chunk = (np.array([r[c] for r in own], np.int64) for c in ("k1", "k2", "copies", "chunk"))
@@ -187,27 +188,14 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
                     if (out := task(held)) is not None:
                         yield out
                     held = []
-                held.append(r)
+                if not held or (r["k1"], r["k2"]) != (held[-1]["k1"], held[-1]["k2"]):  # a row that is repeated comes again
+                    held.append(r)
         if held and (out := task(held)) is not None:
             yield out
 
     return dealt.mapInArrow(run, schema)
 
 
-def _own_text(rows: list[dict]) -> list[dict]:
-    """The rows whose text has the key that they stand for: a doc_id that several rows carry may bring others."""
-    seen = {}
-    for r in rows:
-        seen.setdefault((r["k1"], r["k2"]), []).append(r)
-    out = []
-    for key, own in seen.items():
-        if len(own) > 1:
-            k1, k2 = set_keys(*shingles([(r["text"] or "").encode("utf-8", "surrogatepass") for r in own], WORDS))
-            own = [r for r, a, b in zip(own, k1.tolist(), k2.tolist(), strict=True) if (a, b) == key]
-        out += own[:1]
-    return out
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component of (a, b), for all but the roots. a and b can be compared."""
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -227,31 +215,48 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links of every document."""
+def _classes(docs: DataFrame, similar: float, recall: float) -> DataFrame:
+    """doc_id, mark, class_id, n_links and whether its class stands for it by another row (other), of every document."""
     bands, rows = bands_and_rows(similar, recall)
     seen = written(sketch(docs, bands, rows), "near-sketch")
     full = seen.where("k1 is not null")
-    nodes = written(full.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "near-nodes")
+    first = lambda d, m: F.coalesce(F.min(F.when(F.col(d).isNotNull(), F.struct(d, m))), F.min(F.struct(d, m)))
+    nodes = full.groupBy("k1", "k2").agg(F.count("*").alias("copies"), first("doc_id", "mark").alias("own"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("k1", "k2", "copies", F.col("own.doc_id").alias("rep"), F.col("own.mark").alias("rep_mark"), "size", "bands"), "near-nodes")
     found = written(links(docs, nodes, similar), "near-links")
     pair = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
     roots = components(found.select(pair("k1", "k2").alias("a"), pair("r1", "r2").alias("b")))
     counted = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     # only nodes that have copies or links are joined to documents
-    marked = nodes.select("k1", "k2", "copies", "rep").join(counted, ["k1", "k2"], "left").where("copies > 1 or links > 0")
+    marked = nodes.select("k1", "k2", "copies", "rep", "rep_mark").join(counted, ["k1", "k2"], "left").where("copies > 1 or links > 0")
     marked = marked.join(roots, pair("k1", "k2") == F.col("node"), "left").withColumn("root", F.coalesce("root", pair("k1", "k2")))
-    marked = written(marked.select("k1", "k2", "copies", "rep", "links", "root"), "near-marked")
-    least = marked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    marked = marked.join(least, "root").select("k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = seen.select("doc_id", "k1", "k2").join(marked.withColumn("in_class", F.lit(True)), ["k1", "k2"], "left")
-    return out.select("doc_id", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    marked = written(marked.select("k1", "k2", "copies", "rep", "rep_mark", "links", "root"), "near-marked")
+    least = marked.groupBy("root").agg(first("rep", "rep_mark").alias("kept"))
+    marked = marked.join(least, "root").select("k1", "k2", "kept", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = seen.select("doc_id", "mark", "k1", "k2").join(marked, ["k1", "k2"], "left")
+    inside, kept = F.col("kept").isNotNull(), F.struct(F.col("doc_id").alias("rep"), F.col("mark").alias("rep_mark"))
+    class_id, links_of = F.when(inside, F.col("kept.rep")).otherwise(F.col("doc_id")), F.coalesce("n_links", F.lit(0)).cast("long")
+    return out.select("doc_id", "mark", class_id.alias("class_id"), links_of.alias("n_links"), (inside & ~kept.eqNullSafe(F.col("kept"))).alias("other"))
+
+
+def classes(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links of every document."""
+    return _classes(docs, similar, recall).drop("mark", "other")
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The documents with the smallest doc_id of their classes, all columns; repeated rows stay once. Rows without doc_id stay unless their class has one."""
-    gone = classes(docs, similar).where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    """The documents with the smallest doc_id of their classes, all columns; of a class without doc_ids one row, of repeated rows one.
+
+    Which rows go is found without their texts; only repeated rows are compared by text.
+    """
+    rows = _classes(docs, similar, RECALL).groupBy("doc_id", "mark").agg(F.max("other").alias("gone"), F.count("*").alias("n"))
+    found = written(rows.where("gone or n > 1"), "near-gone")
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
+    named = lambda rows: rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    left, repeated = docs.join(named(found), own, "left_anti"), found.where("not gone")
+    if repeated.isEmpty():
+        return left
+    return left.unionByName(docs.join(named(repeated), own, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

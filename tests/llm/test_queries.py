@@ -137,6 +137,20 @@ def test_one_of_each(spark, messy):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (1, 2, 6, 7)) == [1, 6]
 
 
+def test_near_duplicates_without_ids_or_with_shared_ones(spark):
+    base = [f"w{i}" for i in range(90)]
+    near = [" ".join([*base, f"x{i}"]) for i in range(4)]
+    alone = [" ".join(f"y{i}_{j}" for j in range(20)) for i in range(3)]
+    texts = [(None, near[0]), (None, near[1]), (None, alone[0]), (None, alone[1]), (None, alone[1]), (5, near[2]), (5, alone[2]), (5, near[2]), (7, near[3]), (7, None), (7, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(neardup.classes(docs), "doc_id", "class_id", "n_links") == linked(texts)
+    expected = [(None, alone[0]), (None, alone[1]), (5, near[2]), (5, alone[2]), (7, None)]
+    assert sorted(((r.doc_id, r.text) for r in neardup.one_of_each(docs).collect()), key=str) == sorted(expected, key=str)
+    unnamed = docs.where("doc_id is null")
+    left = [(r.doc_id, r.text) for r in neardup.one_of_each(unnamed).collect()]
+    assert len(left) == 3 and sum(t in near for _, t in left) == 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(500, 560)]
