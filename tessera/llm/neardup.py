@@ -133,7 +133,9 @@ def verified(k1, k2, copies, buckets, own_chunk, raw: list[bytes], bucket: int,
     n, size = len(raw), np.diff(starts)
     of = np.repeat(np.arange(n), size)
     both = pair_counts(of, found, n)
-    linked = both * (1 + similar) >= similar * (size[:, None] + size[None, :]) - 1e-6
+    linked = np.zeros((n, n), bool)
+    for i in range(n):  # in double precision, row by row: in single precision pairs at the threshold itself fall below it
+        linked[i] = both[i].astype(np.float64) * (1 + similar) >= similar * (size[i] + size) - 1e-6
     before = [(i, b) for i, own in enumerate(buckets) for b in own if b < bucket]
     if before:
         i, b = (np.array(x, np.int64) for x in zip(*before, strict=True))

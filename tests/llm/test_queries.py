@@ -130,6 +130,24 @@ def test_near_duplicates_in_chunks(spark, monkeypatch):
     assert rows(neardup.classes(docs), "doc_id", "class_id", "n_links") == expected
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """A text of 4k shingles and the same with k more share exactly 0.8; with k + 1 more they are below."""
+    text = lambda k, more, own="w": " ".join(f"{own}{k}x{i}" for i in range(4 * k + 4 + more))
+    two = np.arange(2)
+    for k in range(1, 400):
+        for more, n in ((k, 1), (k + 1, 0)):
+            raw = [text(k, 0).encode(), text(k, more).encode()]
+            who, links, _ = neardup.verified(two, two, np.ones(2, np.int64), [[1], [1]], two, raw, 1, False, 0.8)
+            assert links.tolist() == [1, 1][: 2 * n], (k, more)
+    docs, expected = [], []
+    for k in (7, 11, 50, 200):  # 28 of 35, 44 of 55, ...
+        docs += [(10 * k, text(k, 0)), (10 * k + 1, text(k, k)), (10 * k + 2, text(k, 0, "v")), (10 * k + 3, text(k, k + 1, "v"))]
+        expected += [(10 * k, 10 * k, 1), (10 * k + 1, 10 * k, 1), (10 * k + 2, 10 * k + 2, 0), (10 * k + 3, 10 * k + 3, 0)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(neardup.classes(docs), "doc_id", "class_id", "n_links") == sorted(expected, key=key)
+    assert neardup.one_of_each(docs).count() == 12
+
+
 def test_one_of_each(spark, messy):
     docs, _, raw = messy
     kept = neardup.one_of_each(docs)
