@@ -30,3 +30,15 @@ def test_same_rows(spark, duck, name):
     order = [names.index(n) for n in sorted(names)]
     assert sorted(names) == sorted(df.columns)
     assert plain(got) == plain(tuple(r[i] for i in order) for r in out.fetchall())
+
+
+def test_generated_filter_has_every_document(spark, tmp_path):
+    """As brute force says of the first 64 KiB, whatever the length of the text."""
+    short, late = "ab\n" * 30_000, "é\n" * 21_845
+    texts = [None, "", "x" * 1_000, "x" * 1_001, "é" * 501, short, "x" * 1_001 + "\n" + short, short + "x" * 2_000, late + "x" * 2_000, short[:64_535] + "\n" + "x" * 5_000, short[:64_534] + "\n" + "x" * 5_000, "x" * 200_000]
+    docs = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {int(r.path.rsplit("_", 1)[1].removesuffix(".txt")): r.generated for r in catalogue.generated_filter(spark, str(tmp_path)).collect()}
+    brute = lambda t: None if t is None else any(len(x) > 1_000 for x in t.encode()[:65_536].split(b"\n"))
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert [got[i] for i in (7, 8, 9, 10, 11)] == [False, False, False, True, True]
