@@ -35,7 +35,15 @@ IDENTITY = {
     "fr": ("femmes", "hommes", "musulmans", "chrétiens", "juifs", "immigrés", "réfugiés", "homosexuels"),
     "es": ("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "inmigrantes", "refugiados", "homosexuales"),
 }
-SWAP = {a: b for terms in IDENTITY.values() for a, b in zip(terms, (*terms[1:], terms[0]), strict=True)}
+#: Singulars and adjectives in cycles of their own, so that the form stays; a word that languages share is in one cycle only.
+FORMS = (
+    ("woman", "man"), ("muslim", "christian", "jew", "hindu"), ("jewish", "islamic", "catholic", "protestant", "buddhist"), ("immigrant", "refugee"),
+    ("african", "asian", "european"), ("black", "white"), ("gay", "lesbian", "bisexual", "trans", "transgender", "queer"), ("homosexual", "heterosexual"),
+    ("frau", "mann"), ("muslimin", "christin", "jüdin"), ("moslem", "christ", "jude"), ("muslimisch", "christlich", "jüdisch"), ("migrant", "flüchtling"), ("schwul", "lesbisch"),
+    ("femme", "homme"), ("musulman", "chrétien", "juif"), ("musulmane", "chrétienne", "juive"), ("immigré", "réfugié"), ("noir", "blanc"), ("noire", "blanche"), ("homosexuel", "hétérosexuel"), ("lesbienne", "homosexuelle"),
+    ("mujer", "hombre"), ("musulmán", "cristiano", "judío"), ("musulmana", "cristiana", "judía"), ("inmigrante", "refugiado"), ("lesbiana", "transexual"),
+)
+SWAP = {a: b for terms in (*IDENTITY.values(), *FORMS) for a, b in zip(terms, (*terms[1:], terms[0]), strict=True)}
 _GROUP = re.compile(r"\b(?:" + "|".join(sorted(SWAP, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 

@@ -399,6 +399,14 @@ def test_toxicity(spark, messy):
     assert len(got) == len(raw) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_singulars_and_adjectives_are_swapped():
+    assert toxicity.swapped("A woman, a Muslim and a gay Jewish poet") == "A man, a christian and a lesbian islamic poet"
+    assert all(toxicity.swapped(f"x {w} y") not in (None, f"x {w} y") for w in ("Black", "trans", "Frau", "jüdisch", "femme", "juive", "mujer", "musulmán"))
+    terms = [t for own in (*toxicity.IDENTITY.values(), *toxicity.FORMS) for t in own]
+    assert len(terms) == len(set(terms)) == len(toxicity.SWAP)
+    assert toxicity.swapped("a human blackbird in a mandate") is None
+
+
 def test_toxicity_does_not_depend_on_the_group():
     """Labels that go with one group's name by chance: the penalty takes that weight away."""
     rng = np.random.default_rng(3)
