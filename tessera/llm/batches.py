@@ -30,9 +30,20 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-def map_slices(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterable[dict[str, list]]], ddl: str, column: str = "text", most: int = SLICE) -> DataFrame:
-    """fn gets the slices of a partition and yields columns by name, in the order of the schema ``ddl``."""
-    schema = schema_of(ddl)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def map_slices(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str | StructType, column: str = "text", most: int = SLICE) -> DataFrame:
+    """fn gets the slices of a partition and yields columns by name, in the order of ``schema``."""
+    schema = schema_of(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):

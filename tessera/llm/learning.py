@@ -136,4 +136,4 @@ def kept(docs: DataFrame, features: Features, model: dict, at: float) -> DataFra
             chosen = part.filter(stay.tolist()) if len(stay) else part
             yield {n: chosen[i] for i, n in enumerate(names)}
 
-    return map_slices(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), most=FEATURED)
+    return map_slices(docs, run, docs.schema, most=FEATURED)
