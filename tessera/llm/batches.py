@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -30,6 +31,11 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+def named(name: str) -> F.Column:
+    """A column by its name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of our own that no column of ``df`` has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -44,14 +50,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def map_slices(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str | StructType, column: str = "text", most: int = SLICE) -> DataFrame:
     """fn gets the slices of a partition and yields columns by name, in the order of ``schema``."""
     schema = schema_of(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(schema)
+    arrow, names = to_arrow_schema(schema), df.columns
 
     def run(batches):
-        for columns in fn(part for batch in batches for part in slices(batch, column, most)):
+        for columns in fn(part for batch in batches for part in slices(batch.rename_columns(names), column, most)):
             made = (columns[f.name] for f in arrow)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    # by number: Spark would resolve a name with a dot or a backtick as something else
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
 def texts(part: pa.RecordBatch, column: str = "text") -> list[str]:

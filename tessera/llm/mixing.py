@@ -8,8 +8,8 @@ hashes. Thresholds are nested: a larger budget takes a superset.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a
 source of size 0 has target 0; rows that are equal in doc_id and text share a hash and are taken
-together; an empty table gives an empty mix. Columns of ``docs`` whose names clash with those
-added are replaced in the result of :func:`mix`.
+together; texts of any length count whole; an empty table gives an empty mix. :func:`mix` returns the
+columns of ``docs`` as they are, whatever their names; :func:`mix_table` reads doc_id, source and text only.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import fresh, named
 from tessera.storage import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Bits of the hash that are dropped at each level: 65,536 buckets, again in the boundary bucket, then single hashes.
-SHIFTS = (44, 28, 0)
+#: Bits of the hash that are dropped at each level: 4,096 buckets, again in the boundary bucket, then single hashes, of one in 16 million rows.
+SHIFTS = (48, 36, 0)
 
 
 def word_count(text) -> F.Column:
@@ -68,6 +69,9 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     for shift in SHIFTS:
         own = aims.select(F.col("source").alias("of"), "left", "edge")
         inside = rows.join(own, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", prior) == F.col("edge")))
+        if prior < 60:  # later levels read the boundary buckets only
+            rows = written(inside.select("source", "size", "h"), "mix-boundary")
+            inside = rows.join(own, F.col("source").eqNullSafe(F.col("of")))
         sums = inside.groupBy("source", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         running = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
         passed = sums.withColumn("running", running).groupBy("source").agg(
@@ -86,9 +90,9 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
 
 
 def _dealt(rows: DataFrame, aims: DataFrame) -> DataFrame:
-    own = aims.select(F.col("source").alias("__of"), "source_size", "target", F.col("copies").alias("__all"), "threshold")
-    copies = F.col("__all") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return rows.join(own, F.col("source").eqNullSafe(F.col("__of"))).withColumn("copies", copies).drop("__of", "__all", "threshold")
+    own = aims.select(F.col("source").alias("of"), "source_size", "target", F.col("copies").alias("whole"), "threshold")
+    copies = F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    return rows.join(own, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies).drop("of", "whole", "threshold")
 
 
 def mix_table(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
@@ -100,10 +104,11 @@ def mix_table(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataF
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The mixed documents themselves: each row as often as it is taken, with the columns of ``docs``."""
     rows = written(docs.select("source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix-rows")
-    own = thresholds(rows, weights, share, most).select(F.col("source").alias("__of"), F.col("copies").alias("__all"), F.col("threshold").alias("__below"))
-    kept = docs.join(own, docs["source"].eqNullSafe(F.col("__of")))
-    copies = F.col("__all") + F.when(row_hash(docs["doc_id"], docs["text"]) < F.col("__below"), 1).otherwise(0)
-    return kept.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*(docs[c] for c in docs.columns))
+    of, whole, below, copy = fresh(docs, "of", "whole", "below", "copy")
+    own = thresholds(rows, weights, share, most).select(F.col("source").alias(of), F.col("copies").alias(whole), F.col("threshold").alias(below))
+    kept = docs.join(own, F.col("source").eqNullSafe(F.col(of)))
+    copies = F.col(whole) + F.when(row_hash(F.col("doc_id"), F.col("text")) < F.col(below), 1).otherwise(0)
+    return kept.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*map(named, docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,13 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"w {i}", f"s{i % 2}", i, "x", 2) for i in range(40)], "doc_id long, text string, source string, `of` long, `a.b``c` string, copies int")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+    assert {r.doc_id: r.copies for r in mixing.mix_table(docs).collect()} == {r.doc_id: r.copies for r in mixing.mix_table(docs.select("doc_id", "text", "source")).collect()}
+
+
 def test_binary(spark, messy):
     docs, folder, raw = messy
     tok = Tokenizer.from_file(public_tokenizers.path(binary.VOCABULARY))
