@@ -69,7 +69,7 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     for shift in SHIFTS:
         own = aims.select(F.col("source").alias("of"), "left", "edge")
         inside = rows.join(own, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", prior) == F.col("edge")))
-        if prior < 60:  # later levels read the boundary buckets only
+        if 0 < shift < SHIFTS[0]:  # the next level reads the boundary buckets only
             rows = written(inside.select("source", "size", "h"), "mix-boundary")
             inside = rows.join(own, F.col("source").eqNullSafe(F.col("of")))
         sums = inside.groupBy("source", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))

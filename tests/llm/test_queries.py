@@ -405,25 +405,51 @@ def test_lexicon_is_minimal_and_exact():
 
 def brute_topk(vectors, k=5, every=50):
     own = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = []
+    scores = defaultdict(list)  # rows that share a query's id are ranked together, as its SQL does
     for q, a in own:
         if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in own if i != q and len(a) == len(b))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    return sorted(out, key=key)
+            scores[q] += [(-sum(x * y for x, y in zip(a, b)), i) for i, b in own if i != q and len(a) == len(b)]
+    return sorted(((q, r + 1, i, -s) for q, all_of in scores.items() for r, (s, i) in enumerate(sorted(all_of)[:k])), key=key)
 
 
 def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(700)]
-    vectors += [(1000 + i, vectors[50][1]) for i in range(12)] + [(2000, None), (None, vectors[0][1]), (2050, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [1.0, 2.0]), (2201, [3.0, -1.0]), (2250, [])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    vectors += [(1000 + i, vectors[50][1]) for i in range(12)] + [(2000, None), (None, vectors[0][1]), (2050, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [1.0, 2.0]), (2201, [3.0, -1.0]), (2250, []), (2300, [])]
+    # repeated query ids, with another vector and with the same; repeated candidates
+    vectors += [(50, vectors[3][1]), (100, vectors[100][1]), (100, vectors[100][1]), (7, vectors[7][1])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, query_id string").repartition(3)
     expected = brute_topk([(r.vec_id, r.embedding) for r in df.collect()])
     assert rows(topk.search(df), "query_id", "rank", "vec_id", "score") == expected
-    monkeypatch.setattr(topk, "ROUND", 3)
+    con = duckdb.connect()
+    con.register("embeddings", df.select("vec_id", "embedding").where("vec_id < 2050").toArrow())
+    wide = brute_topk([(r.vec_id, r.embedding) for r in df.where("vec_id < 2050").collect()])
+    assert sorted(con.execute(topk.ORACLE).fetchall(), key=key) == wide
+    for name, value in (("LEAF", 4), ("SHARD", 50), ("HELD", 2), ("TOGETHER", 3)):
+        monkeypatch.setattr(topk, name, value)
     assert rows(topk.search(df), "query_id", "rank", "vec_id", "score") == expected
 
 
+def test_trees_have_tight_boxes_and_prune():
+    rng = np.random.default_rng(1)
+    points = np.floor(rng.normal(size=(5000, 3)) * 100)
+    tree = topk.Tree(np.arange(5000), points)
+    for node, (a, b) in enumerate(tree.below):
+        assert (tree.low[node] == tree.points[a:b].min(axis=0)).all() and (tree.high[node] == tree.points[a:b].max(axis=0)).all()
+        if tree.left[node] >= 0:
+            assert tree.below[tree.left[node]] == (a, a + (b - a) // 2) and tree.below[tree.left[node] + 1] == (a + (b - a) // 2, b)
+    scored, product = [], topk.to_kind
+    topk.to_kind = lambda x, kind: (scored.append(len(x)) if x.ndim == 2 and len(x) > 1 else None, product(x, kind))[1]
+    try:
+        kth = np.full(1, -np.inf)
+        who, ids, scores = tree.search(np.array([-1]), points[:1], kth, 5)
+    finally:
+        topk.to_kind = product
+    best = np.sort(points @ points[0])[::-1][:5]
+    assert scores.tolist() == best.tolist() and kth[0] == best[-1]
+    assert sum(scored) < 2000  # of 5,000 points
+
+
 def test_topk_of_large_numbers(spark):
     vectors = [(i, [1e6 * (i % 7) - 3e6, 1e7 / (i + 1)]) for i in range(120)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
