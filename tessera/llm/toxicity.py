@@ -1,14 +1,20 @@
 """Toxicity by a logistic model with a counterfactual penalty.
 
 Indicators of words, of their first four and six bytes, and of pairs of words are weighed by a logistic
-model. For each learning text that names an identity group, a copy is made in which every group term is
-swapped for another, and the loss holds the square of the score change between both: what a group is
-called must not move the score, so neutral mentions are not marked.
+model. The loss also holds the square of the score change between counterfactual pairs, so that what a
+group is called moves no score and neutral mentions are not marked. Pairs come from labelled sentences:
+
+* a learning text that names a group, and its copy in which every group term is swapped for the next of its
+  cycle in ``IDENTITY`` or ``FORMS`` (the last for a neutral word);
+* of up to ``SLOTS`` learning texts, those first by hash of doc_id, a sentence in which one word gives its
+  place to a term, and the same sentence with another term of the cycle there. So the penalty acts also
+  where no labelled text names a group.
 
 The loss is minimised by Adam over all rows at once, on features that at least ``SEEN`` rows have and
-whose counts in the two classes differ by more than chance (a G statistic of ``TELLING`` or more). A
-fifth of the rows, by hash of doc_id, turns margins into scores as in ``quality``. See ``learning`` for
-the rows learnt from and for defined cases.
+whose counts in the two classes differ by more than chance (a G statistic of ``TELLING`` or more); features
+of group terms are always among them. A fifth of the rows, by hash of doc_id, turns margins into scores as
+in ``quality``. See ``learning`` for the rows learnt from and for defined cases: equal texts get equal
+scores, and columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +29,15 @@ from tessera.llm import learning
 from tessera.llm.batches import map_slices, texts
 from tessera.llm.learning import BITS
 from tessera.llm.textkit import LETTER, Block, U, indicators, mix, ngrams
-from tessera.storage import table
+from tessera.storage import table, written
 
 #: Score from which a document is toxic; weights of the squares of the coefficients and of the score changes; steps; least rows and G of a feature; power of a text's number of features by which sums are divided.
 TOXIC, RIDGE, FAIR, STEPS, SEEN, TELLING, POWER = 0.7, 2e-4, 1.0, 150, 3, 10.0, 0.25
 
-#: Neutral names of groups; a term is swapped for the next in its list.
+#: Learning texts of which a sentence gets group terms.
+SLOTS = 2_000
+
+#: Neutral names of groups; a term is swapped for the next in its list, the last for the word for people.
 IDENTITY = {
     "en": ("women", "men", "muslims", "christians", "jews", "hindus", "immigrants", "refugees", "africans", "asians", "gays", "lesbians"),
     "de": ("frauen", "männer", "muslime", "christen", "juden", "migranten", "flüchtlinge", "schwule"),
@@ -43,8 +52,11 @@ FORMS = (
     ("femme", "homme"), ("musulman", "chrétien", "juif"), ("musulmane", "chrétienne", "juive"), ("immigré", "réfugié"), ("noir", "blanc"), ("noire", "blanche"), ("homosexuel", "hétérosexuel"), ("lesbienne", "homosexuelle"),
     ("mujer", "hombre"), ("musulmán", "cristiano", "judío"), ("musulmana", "cristiana", "judía"), ("inmigrante", "refugiado"), ("lesbiana", "transexual"),
 )
-SWAP = {a: b for terms in (*IDENTITY.values(), *FORMS) for a, b in zip(terms, (*terms[1:], terms[0]), strict=True)}
+NEUTRAL = {"en": "people", "de": "leute", "fr": "gens", "es": "personas"}
+CYCLES = (*((*terms, NEUTRAL[lang]) for lang, terms in IDENTITY.items()), *FORMS)
+SWAP = {a: b for terms in CYCLES for a, b in zip(terms, (*terms[1:], terms[0]), strict=True) if a not in NEUTRAL.values()}
 _GROUP = re.compile(r"\b(?:" + "|".join(sorted(SWAP, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+_SENTENCE, _WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 
 
 def features(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,43 +90,72 @@ def swapped(text: str) -> str | None:
     return new if n else None
 
 
-def descend(y: np.ndarray, x: tuple, pairs: tuple | None, size: int, steps: int = STEPS, fair: float = FAIR) -> tuple[np.ndarray, float]:
-    """Adam on mean logistic loss (both classes weigh the same) + ridge + fair * mean squared score change. x: features, starts, factors."""
-    w, bias = np.zeros(size), 0.0
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+def slotted(text: str, doc_id: int) -> tuple[str, str] | None:
+    """A sentence of the text with one word replaced by a group term, and by another of its cycle; which, depends on doc_id. None without words."""
+    random = int(mix(np.array([doc_id], np.int64).view(U))[0])
+    sentences = [m.span() for m in _SENTENCE.finditer(text)]
+    if not sentences:
+        return None
+    own = text[slice(*sentences[random % len(sentences)])]
+    words = [m.span() for m in _WORD.finditer(own)]
+    if not words:
+        return None
+    a, b = words[random // 7 % len(words)]
+    terms = CYCLES[random // 11 % len(CYCLES)]
+    first = random // 13 % len(terms)
+    second = (first + 1 + random // 17 % (len(terms) - 1)) % len(terms)
+    return own[:a] + terms[first] + own[b:], own[:a] + terms[second] + own[b:]
+
+
+def gradient(w: np.ndarray, bias: float, y: np.ndarray, x: tuple, pairs: tuple | None, fair: float = FAIR) -> tuple[float, np.ndarray]:
+    """Mean logistic loss (both classes weigh the same) + ridge + fair * mean squared score change, and its gradient in (w, bias). x: features, starts, factors."""
     found, starts, factor = x
-    lengths = np.diff(starts)
+    size = len(w)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    f = learning.sums_by(w[found], starts) * factor + bias
+    loss = (weight * np.logaddexp(0.0, np.where(y == 1, -f, f))).sum() + RIDGE / 2 * (w @ w)
+    pull = weight * (learning.sigmoid(f) - y)
+    grad = np.bincount(found, weights=np.repeat(pull * factor, np.diff(starts)), minlength=size) + RIDGE * w
+    if pairs is not None:
+        (fa, sa, na), (fb, sb, nb) = pairs
+        change = learning.sums_by(w[fa], sa) * na - learning.sums_by(w[fb], sb) * nb
+        loss += fair * (change @ change) / len(change)
+        change *= 2 * fair / len(change)
+        grad += np.bincount(fa, weights=np.repeat(change * na, np.diff(sa)), minlength=size) - np.bincount(fb, weights=np.repeat(change * nb, np.diff(sb)), minlength=size)
+    return loss, np.append(grad, pull.sum())
+
+
+def descend(y: np.ndarray, x: tuple, pairs: tuple | None, size: int, steps: int = STEPS, fair: float = FAIR) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Adam."""
+    w = np.zeros(size + 1)
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        f = learning.sums_by(w[found], starts) * factor + bias
-        pull = weight * (learning.sigmoid(f) - y)
-        grad = np.bincount(found, weights=np.repeat(pull * factor, lengths), minlength=size) + RIDGE * w
-        if pairs is not None:
-            (fa, sa, na), (fb, sb, nb) = pairs
-            change = learning.sums_by(w[fa], sa) * na - learning.sums_by(w[fb], sb) * nb
-            change *= 2 * fair / len(change)
-            grad += np.bincount(fa, weights=np.repeat(change * na, np.diff(sa)), minlength=size) - np.bincount(fb, weights=np.repeat(change * nb, np.diff(sb)), minlength=size)
-        g = np.append(grad, pull.sum())
+        _, g = gradient(w[:-1], w[-1], y, x, pairs, fair)
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
-        move = 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-        w, bias = w - move[:-1], bias - move[-1]
-    return w, bias
+        w = w - 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+    return w[:-1], w[-1]
 
 
-def _swaps(rows: DataFrame) -> tuple[tuple, tuple] | None:
-    """Features of the learning texts that name a group, and of their swapped copies."""
+def _pairs(rows: DataFrame, n: int) -> tuple[tuple, tuple] | None:
+    """Features of both texts of every counterfactual pair. n: number of rows, about."""
+    below = min(1 << 32, (SLOTS << 32) // max(1, n))
 
     def run(parts) -> Iterator[dict]:
         for part in parts:
-            pairs = [(i, t, s) for i, t in zip(part["doc_id"].to_pylist(), texts(part), strict=True) if (s := swapped(t)) is not None]
+            pairs = []
+            for i, t in zip(part["doc_id"].to_pylist(), texts(part), strict=True):
+                if (s := swapped(t)) is not None:
+                    pairs.append((i, t, s))
+                if int(mix(np.array([i], np.int64).view(U) ^ U(0x51075))[0]) >> 32 < below and (both := slotted(t, i)):
+                    pairs.append((i, *both))
             columns = {"doc_id": [i for i, _, _ in pairs]}
             for name, own in (("a", [t for _, t, _ in pairs]), ("b", [s for _, _, s in pairs])):
                 found, starts = features(own)
                 columns[name] = [found[p:q].tobytes() for p, q in zip(starts[:-1], starts[1:], strict=True)]
             yield columns
 
-    got = sorted(map_slices(rows.select("doc_id", "text"), run, "doc_id long, a binary, b binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["a"]))
+    got = sorted(map_slices(rows.select("doc_id", "text"), run, "doc_id long, a binary, b binary", most=learning.FEATURED).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["a"], r["b"]))
     if not got:
         return None
     out = []
@@ -126,12 +167,14 @@ def _swaps(rows: DataFrame) -> tuple[tuple, tuple] | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = learning.SAMPLE) -> dict:
-    rows = learning.sampled(docs, labels, column, most)
+    """The model, with its number of counterfactual pairs and their mean change of score (gap)."""
+    rows = written(learning.sampled(docs, labels, column, most), "toxicity-sample")
     ids, y, found, starts = learning.gathered(rows, features)
     if (all_same := learning.constant(y)) is not None:
         return {"constant": all_same}
-    pairs = _swaps(rows)
-    columns = telling(y, found, starts)
+    pairs = _pairs(rows, len(y))
+    terms, _ = features([t for own in CYCLES for t in own])
+    columns = np.union1d(telling(y, found, starts), terms)
     place = np.full(1 << BITS, len(columns), np.int64)  # the last one stands for all rare features and keeps weight 0
     place[columns] = np.arange(len(columns))
     size = len(columns) + 1
@@ -151,7 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = l
     w, b = descend(y, dense(found, starts, factor), pairs, size)
     weights = np.zeros(1 << BITS, np.float32)
     weights[columns] = w[:-1]
-    return {"constant": None, "weights": weights, "bias": b, "power": POWER, "scale": scale, "shift": shift}
+    model = {"constant": None, "weights": weights, "bias": b, "power": POWER, "scale": scale, "shift": shift, "pairs": 0, "gap": 0.0}
+    if pairs:
+        score = [learning.sigmoid(scale * (learning.sums_by(w[f], s) * n + b) + shift) for f, s, n in pairs]
+        model |= {"pairs": len(score[0]), "gap": float(np.abs(score[0] - score[1]).mean())}
+    return model
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
