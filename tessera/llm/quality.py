@@ -43,7 +43,8 @@ def features(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = block.data.astype(U)
     three = data[:-2] | data[1:-1] << U(8) | data[2:] << U(16) if len(data) > 2 else np.zeros(0, U)
     at = block.owner(np.arange(len(three)))
-    parts = [(mix(three + U(0x3B00000000)), at), (words, of), ngrams(words, of, 2), (shape, of), ngrams(shape, of, 2), ngrams(shape, of, 3)]
+    own = at == block.owner(np.arange(2, len(three) + 2))  # the space behind a text is its own, what follows is not
+    parts = [(mix(three[own] + U(0x3B00000000)), at[own]), (words, of), ngrams(words, of, 2), (shape, of), ngrams(shape, of, 2), ngrams(shape, of, 3)]
     return indicators(parts, block.n, BITS)
 
 
