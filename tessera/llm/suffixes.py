@@ -11,16 +11,21 @@ the same place, so repeats meet at anchors, about one in 75 positions, and nothi
 3. Each task sorts the suffixes at its remaining anchors into runs, cut by the hash of the anchor. Equal
    suffixes with equal surroundings are resolved where they are, so of any passage at most one suffix of
    each task travels. Runs are front-coded: each suffix has the length of the prefix that it shares with
-   the one before, and only the rest. An anchor of very many documents is dealt further by the bytes
-   around it.
-4. A reader merges its runs with a loser tree that keeps each loser's common prefix with the winner that it
-   lost to, so that no comparison looks at a prefix known to be equal. The common prefix of neighbours
-   comes with the merge; neighbours that share ``GRAM`` bytes form a group, in which the strings around the
-   anchor are compared by what extends the match to the left and right.
+   the one before, and only the rest. The strings of an anchor that occurs ``COMMON`` times are dealt on
+   in pieces of ``PART`` starts by the bytes that all strings of a piece share (its core). A core that is
+   as common again, as within a passage whose surroundings differ, has its piece cut into single strings:
+   equal ones fall together where they are, others go their own ways. So no passage, however common and
+   wherever it stands, fills a reader.
+4. A reader merges its runs, decoded as it goes, with a loser tree that keeps each loser's common prefix
+   with the winner that it lost to, so that no comparison looks at a prefix known to be equal. The common
+   prefix of neighbours comes with the merge; neighbours that share ``GRAM`` bytes form a group. Two strings
+   with the anchor at the same place are equal where the common prefixes of the merge reach their end and
+   those of the bytes before the anchor, sorted backwards, reach their start: no bytes are hashed for that.
 5. The ranges come back to their text, whose remaining bytes are hashed.
 
-Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; overlaps within a text
-count; repeated rows are copies; an empty table gives no rows.
+Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; very long texts are taken
+in pieces that overlap; overlaps within a text count; repeated rows are copies; columns other than doc_id
+and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +46,8 @@ from tessera.storage import table, written
 LENGTH, GRAM = 200, 48
 #: Bytes whose anchors are sought at a time: some ten arrays of eight bytes for each.
 SURVEYED = 1 << 19
-#: Bits of a sort key that hold the position, suffixes of a reader in expectation, bytes of suffixes that a writer holds, occurrences from which an anchor is dealt further, and starts in one of its parts.
-PLACE, READER, HELD, COMMON, PART = 24, 65_536, 48 << 20, 20_000, 16
+#: Bits of a sort key that hold the position, suffixes of a reader in expectation, bytes of suffixes that a writer holds, occurrences from which an anchor or a core is dealt further, starts in a piece, and parts in which a common core is joined.
+PLACE, READER, HELD, COMMON, PART, SALTS = 24, 65_536, 48 << 20, 4_096, 16, 32
 
 
 def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +140,8 @@ def front_code(run: list[tuple], keys: list[bytes]) -> bytes:
     return zlib.compress(b"".join([struct.pack("<3I", len(run), len(used), len(tails)), *(keys[t] for t in used), *columns, tails, lefts]), 1)
 
 
-def front_decode(data: bytes) -> tuple[list[tuple], list[int]]:
-    """(suffixes with their text's digest, common prefixes with the one before) of a run."""
+def front_decode(data: bytes) -> Iterator[tuple[tuple, int]]:
+    """(suffix with its text's digest, common prefix with the one before), one by one."""
     data = zlib.decompress(data)
     n, k, length = struct.unpack_from("<3I", data)
     at = 12
@@ -144,23 +149,23 @@ def front_decode(data: bytes) -> tuple[list[tuple], list[int]]:
     at += 32 * k
     columns = []
     for kind in ("<u2", "<u2", "<u2", "<u4", "<i8", "<u2", "<u2", "u1"):
-        columns.append(np.frombuffer(data, kind, n, at).tolist())
+        columns.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    left_at, out, last = at + length, [], b""
-    for h, tail, left, key, place, low, high, known in zip(*columns, strict=True):
+    left_at, last = at + length, b""
+    for row in zip(*columns, strict=True):
+        h, tail, left, key, place, low, high, known = map(int, row)
         last = last[:h] + data[at : at + tail]
-        out.append((last, data[left_at : left_at + left], keys[key], place, low, high, known))
+        yield (last, data[left_at : left_at + left], keys[key], place, low, high, known), h
         at, left_at = at + tail, left_at + left
-    return out, columns[0]
 
 
-def merge(runs: list[tuple[list[tuple], list[int]]]) -> Iterator[tuple[tuple, int]]:
+def merge(runs: list[Iterator[tuple[tuple, int]]]) -> Iterator[tuple[tuple, int]]:
     """(suffix, common prefix with the one before) in order, by a loser tree over the runs."""
     k = 1
     while k < len(runs):
         k *= 2
-    place = [0] * k
-    heads: list[bytes | None] = [r[0][0][0] if r[0] else None for r in runs] + [None] * (k - len(runs))
+    now = [next(r, None) for r in runs]
+    heads: list[bytes | None] = [x[0][0] if x else None for x in now] + [None] * (k - len(runs))
     shared = [0] * k  # with the last winner, or with the one that a loser lost to
     loser = [0] * k
 
@@ -188,13 +193,11 @@ def merge(runs: list[tuple[list[tuple], list[int]]]) -> Iterator[tuple[tuple, in
 
     win = build(1) if k > 1 else 0
     while heads[win] is not None:
-        own, lcps = runs[win]
-        yield own[place[win]], shared[win]
-        place[win] += 1
-        if place[win] < len(own):
-            heads[win], shared[win] = own[place[win]][0], lcps[place[win]]
-        else:
+        yield now[win][0], shared[win]
+        if (after := next(runs[win], None)) is None:
             heads[win] = None
+        else:
+            now[win], heads[win], shared[win] = after, after[0][0], after[1]
         node = (win + k) // 2
         while node:
             win, loser[node] = play(win, loser[node])
@@ -222,21 +225,17 @@ def matched(group: list[tuple], shared: list[int], length: int = LENGTH) -> Iter
                         if not s[6]:
                             yield s[2], s[3] - high, s[3] - low + length
         return
-    reach = max(s[5] for s in group)
-    rows = np.zeros((n, reach + length), np.uint8)
-    for i, s in enumerate(group):
-        rows[i, reach - len(s[1]) : reach] = np.frombuffer(s[1][-reach:] if reach else b"", np.uint8)
-        rows[i, reach : reach + len(s[0])] = np.frombuffer(s[0], np.uint8)
-    block = Block.__new__(Block)
     low, high = (np.array([s[c] for s in group]) for c in (4, 5))
-    block.data = rows.ravel()
-    block.prepare()
-    base = np.arange(n) * (reach + length) + reach
-    hits = np.zeros((n, reach + 1), bool)
-    for d in range(int(low.min()), reach + 1):
+    backwards = [s[1][::-1] for s in group]
+    order = sorted(range(n), key=backwards.__getitem__)
+    left = np.array([0] + [common(backwards[a], backwards[b], 0) for a, b in zip(order, order[1:])])
+    right, hits = np.array(shared), np.zeros((n, int(high.max()) + 1), bool)
+    for d in range(int(low.min()), int(high.max()) + 1):
         own = np.flatnonzero((low <= d) & (d <= high))
-        h = block.hashes(base[own] - d, base[own] - d + length)
-        _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+        before = np.empty(n, np.int64)  # the same for those that share d bytes before the anchor, as neighbours in their order do
+        before[order] = np.cumsum(left < d)
+        behind = np.cumsum(right < length - d)
+        _, back, counts = np.unique(behind[own] * (n + 1) + before[own], return_inverse=True, return_counts=True)
         hits[own, d] = counts[back] > 1
     for i in np.flatnonzero(hits.any(axis=1)).tolist():
         if not group[i][6]:
@@ -245,31 +244,48 @@ def matched(group: list[tuple], shared: list[int], length: int = LENGTH) -> Iter
                 yield group[i][2], group[i][3] - b + 1, group[i][3] - a + length
 
 
+def spread(h: int, data: bytes, d: int) -> int:
+    """A 64-bit key of an anchor's hash and some bytes around it, the first d before the anchor."""
+    return ((h ^ zlib.crc32(data, d) * 0x9E3779B1) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def pieces(raw: bytes, at: int, low: int, high: int, h: int) -> Iterator[tuple[int, int, int]]:
+    """(low, high, key of the core) of the pieces of an anchor's strings. A core is what all strings of a whole piece have; equal strings have equal cores."""
+    for a in range(low - low % PART, high + 1, PART):
+        yield max(a, low), min(a + PART - 1, high), spread(h, raw[at - a : at - (a + PART - 1) + LENGTH], a)
+
+
+def joined(own: list[int]) -> bytes:
+    """Starts and ends in any order, as bytes, those that touch as one."""
+    pairs = np.array(own, np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(pairs[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > ends[:-1]]))
+    return np.stack([pairs[first, 0], ends[np.append(first[1:], len(pairs)) - 1]], axis=1).astype("<i8").tobytes()
+
+
 class Writer:
     """Gathers suffixes, resolves those that are equal here, and gives sorted runs by reader."""
 
-    def __init__(self, readers: int):
-        self.readers, self.keys, self.parts, self.size = readers, [], {}, 0
+    def __init__(self, readers: int, most: int = COMMON):
+        self.readers, self.most, self.keys, self.parts, self.size = readers, most, [], {}, 0
 
-    def add(self, raw: bytes, key: bytes, at: int, first: int, last: int, h: int, seen: int) -> None:
-        """The strings of ``raw`` that start from first to last and have their anchor at ``at``."""
+    def add(self, raw: bytes, key: bytes, at: int, first: int, last: int, h: int, seen: int, hot: set[int] = frozenset()) -> None:
+        """The strings of ``raw`` that start from first to last and have their anchor at ``at``. hot: keys of common cores."""
         low, high = at - last, at - first
         if not self.keys or self.keys[-1] != key:
             self.keys.append(key)
-        pieces = [(low, high, h)]
-        if seen >= COMMON:
-            pieces = []
-            for a in range(low - low % PART, high + 1, PART):
-                x, y = max(a, low), min(a + PART - 1, high)
-                # what all strings of the part have, if it is whole; the same for equal strings in any case
-                core = raw[max(0, at - a) : at - (a + PART - 1) + LENGTH]
-                pieces.append((x, y, h ^ zlib.crc32(core, a) * 0x9E3779B1))
-        for x, y, spread in pieces:
-            suffix = raw[at : at - x + LENGTH]
-            before = raw[at - y : at]
-            own = self.parts.setdefault(spread % self.readers, {})
-            own.setdefault((suffix, before, x, y), []).append((len(self.keys) - 1, at))
-            self.size += len(suffix) + len(before) + 150
+        if seen < self.most:
+            cuts = [(low, high, h)]
+        else:
+            cuts = []
+            for x, y, core in pieces(raw, at, low, high, h):
+                cuts += [(d, d, spread(h, raw[at - d : at - d + LENGTH], d)) for d in range(x, y + 1)] if core in hot else [(x, y, core)]
+        for x, y, way in cuts:
+            own = self.parts.setdefault(way % self.readers, {})
+            same = own.setdefault((raw[at : at - x + LENGTH], raw[at - y : at], x, y), [])
+            self.size += 120 if same else LENGTH + y - x + 400
+            same.append((len(self.keys) - 1, at))
 
     def flush(self) -> dict:
         out = {"part": [], "key": [], "ranges": [], "run": []}
@@ -290,25 +306,52 @@ class Writer:
         for text, own in ranges.items():
             out["part"].append(text % self.readers)
             out["key"].append(self.keys[text])
-            out["ranges"].append(np.array(own, "<i8").tobytes())
+            out["ranges"].append(joined(own))
             out["run"].append(None)
         self.keys, self.parts, self.size = [], {}, 0
         return out
 
 
-def ranges(wanted: DataFrame, readers: int) -> DataFrame:
-    """wanted: key, text and hits (hash and count of the anchors that occur twice or more). (key, ranges) with the bytes to remove."""
+def _found(part) -> Iterator[tuple[bytes, bytes, dict, set, Iterator]]:
+    """Of each text: digest, bytes, counts of its repeated anchors by hash, keys of common cores, and its anchors."""
+    hots = part["hot"].to_pylist() if "hot" in part.schema.names else [None] * part.num_rows
+    for key, text, hits, hot in zip(part["key"].to_pylist(), texts(part), part["hits"].to_pylist(), hots, strict=True):
+        raw = text.encode("utf-8", "surrogatepass")
+        at, first, last, h = anchors(Block([raw]))
+        yield key, raw, {x["anchor"]: x["seen"] for x in hits}, set(hot or ()), zip(at.tolist(), first.tolist(), last.tolist(), h.view(np.int64).tolist(), strict=True)
+
+
+def with_common_cores(wanted: DataFrame, most: int = COMMON) -> DataFrame:
+    """``wanted`` with a column hot: the keys of a text's cores that occur as often as ``most``. Only texts with an anchor that common are read or moved."""
+
+    def cores(parts) -> Iterator[dict]:
+        for part in parts:
+            out = {"key": [], "cores": []}
+            for key, raw, counts, _, own in _found(part):
+                out["key"].append(key)
+                out["cores"].append([core for a, b, c, x in own if counts.get(x, 0) >= most for _, _, core in pieces(raw, a, a - c, a - b, x)])
+            yield out
+
+    common_one = F.exists("hits", lambda x: x["seen"] >= most)
+    own = wanted.where(common_one)
+    found = written(map_slices(own.select("key", "text", "hits"), cores, "key binary, cores array<long>"), "suffix-cores").select("key", F.explode("cores").alias("core"))
+    hot = found.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    hot = hot.select("core", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).distinct()
+    marked = found.join(hot, ["core", "salt"]).groupBy("key").agg(F.collect_list("core").alias("hot"))
+    return own.join(marked, "key", "left").unionByName(wanted.where(~common_one).withColumn("hot", F.lit(None).cast("array<long>")))
+
+
+def ranges(wanted: DataFrame, readers: int, most: int = COMMON) -> DataFrame:
+    """wanted: key, text, hits (hash and count of the anchors that occur twice or more) and, if any is common, hot. (key, ranges) with the bytes to remove."""
 
     def write(parts) -> Iterator[dict]:
-        writer = Writer(readers)
+        writer = Writer(readers, most)
         for part in parts:
-            for key, text, hits in zip(part["key"].to_pylist(), texts(part), part["hits"].to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                counts = {x["anchor"]: x["seen"] for x in hits}
-                at, first, last, h = anchors(Block([raw]))
-                for a, b, c, x in zip(at.tolist(), first.tolist(), last.tolist(), h.view(np.int64).tolist(), strict=True):
+            for key, raw, counts, hot, own in _found(part):
+                for a, b, c, x in own:
                     if x in counts:
-                        writer.add(raw, key, a, b, c, x, counts[x])
+                        writer.add(raw, key, a, b, c, x, counts[x], hot)
                 if writer.size > HELD:
                     yield writer.flush()
         if writer.parts:
@@ -348,7 +391,7 @@ def ranges(wanted: DataFrame, readers: int) -> DataFrame:
             shared.append(h)
         if group:
             close()
-        return {"key": [*found], "ranges": [np.array(x, "<i8").tobytes() for x in found.values()]}
+        return {"key": [*found], "ranges": [joined(x) for x in found.values()]}
 
     runs = map_slices(wanted, write, "part int, key binary, ranges binary, run binary")
     dealt = runs.repartition(readers, "part").sortWithinPartitions("part")
@@ -363,15 +406,15 @@ def union(own: list[bytes], size: int) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+def deduplicate(docs: DataFrame, most: int = COMMON) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document. most: occurrences from which an anchor is dealt further; no matter for the result."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(survey(docs), "suffix-survey")
     distinct = seen.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"))
     distinct = written(distinct, "suffix-texts")
     each = distinct.select("key", F.explode("anchors").alias("anchor"))
     twice = written(each.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1"), "suffix-anchors")
-    total = twice.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    total, highest = twice.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.max("seen"), F.lit(0))).first()
     readers = max(8, -(-total // READER))
     hits = each.distinct().join(twice, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "seen")).alias("hits"))
     hits = written(hits.join(distinct.select("key", "rep", "copies"), "key"), "suffix-hits")
@@ -379,7 +422,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # a doc_id that several rows carry may bring other texts; equal rows would count as repeats
     right = right.where(F.unhex(F.sha2(F.encode("text", "utf-8"), 256)) == F.col("key")).select("key", "text", "hits", "copies")
     wanted = written(right.dropDuplicates(["key"]), "suffix-wanted")
-    found = ranges(wanted.select("key", "text", "hits"), int(readers)).groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
+    own = wanted.select("key", "text", "hits")
+    found = ranges(with_common_cores(own, most) if highest >= most else own, int(readers), most).groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
     cut = wanted.where("copies = 1").select("key", "text").join(found, "key")
 
     def remove(parts) -> Iterator[dict]:

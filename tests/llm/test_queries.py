@@ -326,13 +326,47 @@ def test_suffixes_of_shared_passages(spark):
         texts.append((i, "".join(parts)))
     texts += [(100, "ab" * 300), (101, "q" * 450)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    assert rows(suffixes.deduplicate(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(texts)
+    for most in (suffixes.COMMON, 5):
+        assert rows(suffixes.deduplicate(docs, most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(texts)
 
 
-@pytest.mark.parametrize("common", [20_000, 2])
-def test_suffix_runs_without_spark(monkeypatch, common):
-    """Writers, front coding, loser tree and groups, also with anchors dealt further."""
-    monkeypatch.setattr(suffixes, "COMMON", common)
+def test_common_passage_in_many_surroundings(spark):
+    """One passage in 3,000 texts, and once as often within one: its cores are common, its pieces are cut into single strings."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, n))
+    passage = word(330)
+    texts = [(i, word(int(rng.integers(1, 60))) + passage + word(int(rng.integers(1, 60)))) for i in range(3000)]
+    texts += [(5000, "".join(passage + word(3) for _ in range(40))), (5001, passage[:199]), (5002, "z" + passage[20:220] + "z")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(suffixes.deduplicate(docs, 100), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(texts)
+    # what travels: at each reader next to nothing of the passage itself
+    writer, hot = suffixes.Writer(64, 100), set()
+    anchors = [list(zip(*(x.tolist() for x in suffixes.anchors(textkit.Block([t.encode()]))))) for _, t in texts[:3000]]
+    seen = Counter(h for own in anchors for _, _, _, h in own)
+    cores = Counter(c for (_, t), own in zip(texts, anchors) for a, f, last, h in own if seen[h] >= 100 for _, _, c in suffixes.pieces(t.encode(), a, a - last, a - f, h))
+    hot = {c for c, n in cores.items() if n >= 100}
+    for (i, t), own in zip(texts, anchors):
+        for a, f, last, h in own:
+            if seen[h] > 1:
+                writer.add(t.encode(), b"%032d" % i, a, f, last, h, seen[h], hot)
+    sizes = [len(own) for own in writer.parts.values()]
+    assert hot and max(sizes) < 3 * np.mean(sizes)
+
+
+def test_very_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    block = textkit.Block([bytes(rng.integers(97, 100, 9_000).tolist())])
+    plain = [x.tolist() for x in suffixes.anchors(block)]
+    monkeypatch.setattr(suffixes, "PLACE", 11)
+    at, first, last, h = suffixes.anchors(block)
+    covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
+    assert sorted(covered.tolist()) == list(range(9_000 - suffixes.LENGTH + 1)) and ((first <= at) & (at <= last + suffixes.LENGTH - suffixes.GRAM)).all()
+    assert len(plain[0]) <= len(at) <= len(plain[0]) + 20
+
+
+@pytest.mark.parametrize("common,cut", [(20_000, False), (2, False), (2, True)])
+def test_suffix_runs_without_spark(common, cut):
+    """Writers, front coding, loser tree and groups, also with anchors dealt further, and with single strings."""
     rng = np.random.default_rng(4)
     word = lambda n: bytes(rng.integers(97, 123, n).tolist())
     shared = word(330)
@@ -340,10 +374,11 @@ def test_suffix_runs_without_spark(monkeypatch, common):
     found = defaultdict(list)
     runs = defaultdict(list)
     for part in range(4):
-        writer = suffixes.Writer(3)
+        writer = suffixes.Writer(3, common)
         for i in range(part, 40, 4):
             for a, b, c, h in zip(*(x.tolist() for x in suffixes.anchors(textkit.Block([texts[i]])))):
-                writer.add(texts[i], b"%032d" % i, a, b, c, h, 40)
+                hot = {core for _, _, core in suffixes.pieces(texts[i], a, a - c, a - b, h) if core % 3} if cut else set()
+                writer.add(texts[i], b"%032d" % i, a, b, c, h, 40, hot)
         out = writer.flush()
         for p, k, r, run in zip(out["part"], out["key"], out["ranges"], out["run"]):
             runs[p].append(run) if run else found[k].append(r)
