@@ -42,8 +42,11 @@ def features(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shape = mix(shape + U(0x51A9E))
     data = block.data.astype(U)
     three = data[:-2] | data[1:-1] << U(8) | data[2:] << U(16) if len(data) > 2 else np.zeros(0, U)
-    at = block.owner(np.arange(len(three)))
-    own = at == block.owner(np.arange(2, len(three) + 2))  # the space behind a text is its own, what follows is not
+    after = np.append(block.first[1:], len(data)) if block.n else block.first
+    at = np.repeat(np.arange(block.n), after - block.first)[: len(three)]
+    own = np.ones(len(three) + 2, bool)  # the space behind a text is its own, what follows is not
+    own[after - 1] = own[after - 2] = False
+    own = own[: len(three)]
     parts = [(mix(three[own] + U(0x3B00000000)), at[own]), (words, of), ngrams(words, of, 2), (shape, of), ngrams(shape, of, 2), ngrams(shape, of, 3)]
     return indicators(parts, block.n, BITS)
 
