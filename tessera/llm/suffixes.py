@@ -33,9 +33,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -312,48 +314,61 @@ class Writer:
         return out
 
 
-def _found(part) -> Iterator[tuple[bytes, bytes, dict, set, Iterator]]:
-    """Of each text: digest, bytes, counts of its repeated anchors by hash, keys of common cores, and its anchors."""
-    hots = part["hot"].to_pylist() if "hot" in part.schema.names else [None] * part.num_rows
-    for key, text, hits, hot in zip(part["key"].to_pylist(), texts(part), part["hits"].to_pylist(), hots, strict=True):
-        raw = text.encode("utf-8", "surrogatepass")
-        at, first, last, h = anchors(Block([raw]))
-        yield key, raw, {x["anchor"]: x["seen"] for x in hits}, set(hot or ()), zip(at.tolist(), first.tolist(), last.tolist(), h.view(np.int64).tolist(), strict=True)
+def _found(parts) -> Iterator[tuple[bytes, bytes, dict, set, list]]:
+    """Of each text: digest, bytes, counts of its repeated anchors by hash, keys of common cores, and its anchors. A row without digest tells the cores of the rows behind it."""
+    hot: set[int] = set()
+    for part in parts:
+        marks = part["hot"].to_pylist() if "hot" in part.schema.names else [None] * part.num_rows
+        for key, text, hits, own in zip(part["key"].to_pylist(), texts(part), part["hits"].to_pylist(), marks, strict=True):
+            if key is None:
+                hot = set(own)
+                continue
+            raw = text.encode("utf-8", "surrogatepass")
+            at, first, last, h = anchors(Block([raw]))
+            yield key, raw, {x["anchor"]: x["seen"] for x in hits}, hot, list(zip(at.tolist(), first.tolist(), last.tolist(), h.view(np.int64).tolist(), strict=True))
 
 
-def with_common_cores(wanted: DataFrame, most: int = COMMON) -> DataFrame:
-    """``wanted`` with a column hot: the keys of a text's cores that occur as often as ``most``. Only texts with an anchor that common are read or moved."""
+def in_slices(wanted: DataFrame, most: int) -> DataFrame:
+    """Texts by slice, and before each slice's a row without key, with those of its cores (hot) that occur as often as ``most`` in all.
 
-    def cores(parts) -> Iterator[dict]:
-        for part in parts:
-            out = {"key": [], "cores": []}
-            for key, raw, counts, _, own in _found(part):
-                out["key"].append(key)
-                out["cores"].append([core for a, b, c, x in own if counts.get(x, 0) >= most for _, _, core in pieces(raw, a, a - c, a - b, x)])
-            yield out
+    A slice is some bytes of texts that one task has read together, so that it counts a core once however often it has it."""
 
-    common_one = F.exists("hits", lambda x: x["seen"] >= most)
-    own = wanted.where(common_one)
-    found = written(map_slices(own.select("key", "text", "hits"), cores, "key binary, cores array<long>"), "suffix-cores").select("key", F.explode("cores").alias("core"))
-    hot = found.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    def cores(parts) -> Iterator[dict]:
+        task = TaskContext.get().partitionId()
+        for number, part in enumerate(parts):
+            slice_, seen = task << 32 | number, Counter()
+            for _, raw, counts, _, own in _found([part]):
+                seen.update(core for a, b, c, x in own if counts.get(x, 0) >= most for _, _, core in pieces(raw, a, a - c, a - b, x))
+            n, none = part.num_rows, [None] * len(seen)
+            yield {
+                "slice": [slice_] * (n + len(seen)),
+                **{c: [*part[c].to_pylist(), *none] for c in ("key", "text", "hits")},
+                "core": [*[None] * n, *seen], "n": [*[None] * n, *seen.values()],
+            }
+
+    ddl = "slice long, key binary, text string, hits array<struct<anchor:long,seen:long>>, core long, n long"
+    both = written(map_slices(wanted.select("key", "text", "hits"), cores, ddl), "suffix-slices")
+    found = both.where("core is not null").select("slice", "core", "n")
+    hot = found.groupBy("core").agg(F.sum("n").alias("n")).where(F.col("n") >= most)
     hot = hot.select("core", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).distinct()
-    marked = found.join(hot, ["core", "salt"]).groupBy("key").agg(F.collect_list("core").alias("hot"))
-    return own.join(marked, "key", "left").unionByName(wanted.where(~common_one).withColumn("hot", F.lit(None).cast("array<long>")))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("slice"), F.lit(SALTS)).cast("int"))
+    marks = found.join(hot, ["core", "salt"]).groupBy("slice").agg(F.collect_list("core").alias("hot"))
+    own = both.where("core is null").select("slice", "key", "text", "hits", F.lit(None).cast("array<long>").alias("hot"))
+    empty = own.select("slice").distinct().join(marks, "slice", "left").select("slice", F.coalesce("hot", F.array().cast("array<long>")).alias("hot"))
+    return own.unionByName(empty, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", F.col("key").isNotNull())
 
 
-def ranges(wanted: DataFrame, readers: int, most: int = COMMON) -> DataFrame:
-    """wanted: key, text, hits (hash and count of the anchors that occur twice or more) and, if any is common, hot. (key, ranges) with the bytes to remove."""
+def ranges(wanted: DataFrame, readers: int, most: int = COMMON, cut: bool = True) -> DataFrame:
+    """wanted: key, text and hits (hash and count of the anchors that occur twice or more); cut: whether any is as common as ``most``. (key, ranges) with the bytes to remove."""
 
     def write(parts) -> Iterator[dict]:
         writer = Writer(readers, most)
-        for part in parts:
-            for key, raw, counts, hot, own in _found(part):
-                for a, b, c, x in own:
-                    if x in counts:
-                        writer.add(raw, key, a, b, c, x, counts[x], hot)
-                if writer.size > HELD:
-                    yield writer.flush()
+        for key, raw, counts, hot, own in _found(parts):
+            for a, b, c, x in own:
+                if x in counts:
+                    writer.add(raw, key, a, b, c, x, counts[x], hot)
+            if writer.size > HELD:
+                yield writer.flush()
         if writer.parts:
             yield writer.flush()
 
@@ -393,7 +408,12 @@ def ranges(wanted: DataFrame, readers: int, most: int = COMMON) -> DataFrame:
             close()
         return {"key": [*found], "ranges": [joined(x) for x in found.values()]}
 
-    runs = map_slices(wanted, write, "part int, key binary, ranges binary, run binary")
+    ddl = "part int, key binary, ranges binary, run binary"
+    if cut:
+        common_one = F.exists("hits", lambda x: x["seen"] >= most)
+        runs = map_slices(wanted.where(~common_one), write, ddl).unionByName(map_slices(in_slices(wanted.where(common_one), most), write, ddl))
+    else:
+        runs = map_slices(wanted, write, ddl)
     dealt = runs.repartition(readers, "part").sortWithinPartitions("part")
     return map_slices(dealt, read, "key binary, ranges binary", "run")
 
@@ -422,8 +442,7 @@ def deduplicate(docs: DataFrame, most: int = COMMON) -> DataFrame:
     # a doc_id that several rows carry may bring other texts; equal rows would count as repeats
     right = right.where(F.unhex(F.sha2(F.encode("text", "utf-8"), 256)) == F.col("key")).select("key", "text", "hits", "copies")
     wanted = written(right.dropDuplicates(["key"]), "suffix-wanted")
-    own = wanted.select("key", "text", "hits")
-    found = ranges(with_common_cores(own, most) if highest >= most else own, int(readers), most).groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
+    found = ranges(wanted.select("key", "text", "hits"), int(readers), most, highest >= most).groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
     cut = wanted.where("copies = 1").select("key", "text").join(found, "key")
 
     def remove(parts) -> Iterator[dict]:
