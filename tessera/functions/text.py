@@ -36,7 +36,9 @@ def tokenize(text: Column) -> Column:
     def own(ident: Column) -> Column:
         parts = split_ident(ident)
         kept = F.filter(parts, lambda p: (F.length(p) > 1) & ~stopword(p))
-        return F.concat(F.array(F.lower(ident)), F.when(F.size(parts) > 1, kept).otherwise(F.array().cast("array<string>")))
+        rest = F.substr(ident, F.lit(2))
+        plain = (rest == F.lower(rest)) & (F.instr(ident, "_") == 0)  # one part, without a look at it: most words
+        return F.when(plain, F.array(F.lower(ident))).otherwise(F.concat(F.array(F.lower(ident)), F.when(F.size(parts) > 1, kept).otherwise(F.array().cast("array<string>"))))
 
     return F.flatten(F.transform(F.filter(identifiers(text), lambda i: ~stopword(F.lower(i))), own))
 
@@ -67,10 +69,6 @@ def symbol_doc(name: Column, kind: Column, sig: Column, path: Column) -> Column:
     return F.concat(F.array(F.lower(name), kind), split_ident(name), tokenize(sig), tokenize(F.translate(path, "/.", "  ")))
 
 
-def symbol_text(name: Column, kind: Column, sig: Column, path: Column) -> Column:
-    return F.format_string("%s %s: %s | %s", kind, name, sig, F.translate(path, "/_.", "   "))
-
-
 def sha16(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
@@ -85,10 +83,5 @@ def in_skipped_dir(path: Column) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), literals(SKIP_DIRS))
 
 
-def normalised(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.transform(vector, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -19,7 +19,7 @@ from tessera.functions import text as X
 from tessera.schema import AMBIENT, AMBIENT_FILES, DAMPING, MAX_ITER, TOL
 from tessera.storage import written
 
-#: Uses and definitions up to which one task iterates in memory; beyond it each step is a distributed join.
+#: Nodes, uses and definitions up to which one task iterates in memory; beyond it each step is a distributed join.
 KERNEL_EDGES = 5_000_000
 
 
@@ -78,11 +78,11 @@ def _start(nodes: DataFrame, focus: Iterable[str]) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, definitions: DataFrame, flow: DataFrame, focus: Iterable[str] = (), max_iter: int = MAX_ITER, tol: float = TOL, kernel: bool | None = None) -> DataFrame:
-    """nodes: (node). flow: :func:`shares`. (node, rank); rank sums to 1."""
-    start, flow = written(_start(nodes, focus), "pr-start"), written(flow, "pr-shares")
+    """nodes: (node). flow: :func:`shares`, as a written table since each step reads it. (node, rank); rank sums to 1."""
+    start = _start(written(nodes, "pr-nodes"), focus)
     definitions = written(definitions.select("name", "path").join(flow.select("name").distinct(), "name", "left_semi"), "pr-definitions")
     if kernel is None:
-        kernel = flow.count() + definitions.count() <= KERNEL_EDGES
+        kernel = start.count() + flow.count() + definitions.count() <= KERNEL_EDGES
     return (_in_one_task if kernel else _distributed)(start, definitions, flow, max_iter, tol)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,11 +27,22 @@ def query_tokens(query: str) -> list[str]:
     return out or [w.lower() for w in query.split()]
 
 
+def documents(symbols: DataFrame) -> DataFrame:
+    """path, line, name, dl and words of each symbol: one pass over the symbols serves lengths, counts and postings."""
+    words = X.symbol_doc(F.col("name"), F.col("kind"), F.col("signature"), F.col("path"))
+    return symbols.select("path", "line", "name", words.alias("words")).select("path", "line", "name", F.size("words").alias("dl"), "words")
+
+
 def postings(symbols: DataFrame) -> DataFrame:
     """path, line, name, dl (words of the symbol), term, tf: made once when symbols change, not for each query."""
-    docs = symbols.select("path", "line", "name", X.symbol_doc(F.col("name"), F.col("kind"), F.col("signature"), F.col("path")).alias("words"))
-    terms = docs.select("path", "line", "name", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return terms.groupBy("path", "line", "name", "dl", "term").agg(F.count("*").alias("tf"))
+    return posted(documents(symbols))
+
+
+def posted(docs: DataFrame, terms: Iterable[str] | None = None) -> DataFrame:
+    """:func:`postings` of :func:`documents`, of some terms or all."""
+    words = F.col("words") if terms is None else F.filter("words", lambda w: w.isin(*terms))
+    each = docs.select("path", "line", "name", "dl", F.explode(words).alias("term"))
+    return each.groupBy("path", "line", "name", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(posted: DataFrame, n: int, average: float, query: str, limit: int = POOL) -> DataFrame:
@@ -47,8 +59,9 @@ def bm25(posted: DataFrame, n: int, average: float, query: str, limit: int = POO
     return scored.withColumn("score", F.round(boosted, 6)).orderBy(F.desc("score"), "path", "line").limit(limit)
 
 
-def size_of(symbols: DataFrame) -> tuple[int, float]:
-    row = symbols.select(F.size(X.symbol_doc(F.col("name"), F.col("kind"), F.col("signature"), F.col("path"))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+def size_of(docs: DataFrame) -> tuple[int, float]:
+    """Number and mean length of :func:`documents`."""
+    row = docs.agg(F.count("*"), F.avg("dl")).first()
     return row[0], row[1] or 1.0
 
 

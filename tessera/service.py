@@ -7,7 +7,6 @@ import time
 
 from tessera import __version__, schema
 from tessera.engine import Engine
-from tessera.operators import telemetry
 
 MOST, FRESH_S = 40_000, 10.0
 _S, _N, _L = {"type": "string"}, {"type": "number"}, {"type": "array", "items": {"type": "string"}}
@@ -25,8 +24,25 @@ TOOLS = {
     "defs": ({"name": _S}, ["name"], lambda e, a: _lines(e.defs(a["name"])) or "(not found)"),
     "slice": ({"file": _S, "name": _S}, ["file", "name"], lambda e, a: e.slice(a["file"], a["name"])),
     "impact": ({"files": _L, "since_hours": _N, "budget": _N, "tests": {"type": "boolean"}}, [], lambda e, a: e.impact(a.get("files") or (), float(a.get("since_hours") or schema.SINCE_HOURS), int(a.get("budget") or schema.IMPACT_BUDGET), bool(a.get("tests")))),
-    "refs": ({"name": _S, "limit": _N}, ["name"], lambda e, a: json.dumps(e.refs(a["name"], int(a.get("limit") or 20)), ensure_ascii=False)),
+    "refs": ({"name": _S, "limit": _N}, ["name"], lambda e, a: refs_text(a["name"], e.refs(a["name"], int(a.get("limit") or 20)))),
 }
+#: What each tool is for.
+ABOUT = {
+    "map": "The best definitions of the tree within a budget of tokens, ranked by who references them.",
+    "search": "Symbols by words, by meaning or by both.",
+    "outline": "The symbols of a file, with their lines.",
+    "defs": "Where a name is defined.",
+    "slice": "The lines of one symbol, and the signatures around it.",
+    "impact": "What uses the symbols of changed files.",
+    "refs": "Where a name is defined and which other files reference it.",
+}
+
+
+def refs_text(name: str, found: dict) -> str:
+    if not found["defined"] and not found["referenced"]:
+        return f"(no definition of or reference to `{name}`)"
+    own = [f"defined in: {r['path']}:{r['line']}" for r in found["defined"]] or [f"(no definition of `{name}`)"]
+    return "\n".join([*own, *(f"{r['score']:4}x {r['path']}" for r in found["referenced"]), f"confidence: {found['confidence']}"])
 
 
 class Service:
@@ -40,25 +56,29 @@ class Service:
             return None
         answer = lambda **x: {"jsonrpc": "2.0", "id": key, **x}
         if method == "initialize":
-            return answer(result={"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "tessera", "version": __version__}})
+            asked = (message.get("params") or {}).get("protocolVersion")
+            return answer(result={"protocolVersion": asked if isinstance(asked, str) else "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "tessera", "version": __version__}})
         if method == "ping":
             return answer(result={})
         if method == "tools/list":
-            return answer(result={"tools": [{"name": n, "inputSchema": {"type": "object", "properties": p, "required": r}} for n, (p, r, _) in TOOLS.items()]})
+            return answer(result={"tools": [{"name": n, "description": ABOUT[n], "inputSchema": {"type": "object", "properties": p, "required": r}} for n, (p, r, _) in TOOLS.items()]})
         if method != "tools/call":
             return answer(error={"code": -32601, "message": f"unknown method: {method}"})
         params = message.get("params") or {}
         name, args = params.get("name"), params.get("arguments") or {}
-        if name not in TOOLS or any(r not in args for r in TOOLS[name][1]):
-            return answer(error={"code": -32602, "message": f"unknown tool or missing argument: {name}"})
+        if name not in TOOLS:
+            self.engine.log.record(str(name), args, "(unknown tool)")
+            return answer(error={"code": -32602, "message": f"unknown tool: {name}"})
         try:
+            if lacking := [r for r in TOOLS[name][1] if r not in args]:
+                raise ValueError(f"missing argument: {', '.join(lacking)}")
             if time.monotonic() >= self.fresh_until:
                 self.engine.index()
                 self.fresh_until = time.monotonic() + FRESH_S
             text, bad = TOOLS[name][2](self.engine, args), False
         except Exception as e:  # a tool's failure is its answer
             text, bad = f"{type(e).__name__}: {e}", True
-        telemetry.append(self.engine.log_path, name, args, text)
+        self.engine.log.record(name, args, text)
         text = text if len(text) <= MOST else text[:MOST] + "\n… (truncated)"
         return answer(result={"content": [{"type": "text", "text": text}], "isError": bad})
 

@@ -166,15 +166,20 @@ def test_service(tree, monkeypatch, tmp_path):
     monkeypatch.setenv("TESSERA_QUERYLOG", "1")
     engine.log_path = str(tmp_path / "log.jsonl")
     service = Service(engine)
-    call = lambda name, **args: service.handle({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": args}})
+    call = lambda tool, **args: service.handle({"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": args}})
     assert len(service.handle({"id": 1, "method": "tools/list"})["result"]["tools"]) == 7
     assert service.handle({"method": "notify"}) is None
     assert service.handle({"id": 1, "method": "x"})["error"]["code"] == -32601
-    assert call("search")["error"]["code"] == -32602
+    assert call("search")["result"]["isError"] and "query" in call("search")["result"]["content"][0]["text"]
+    assert call("nothing")["error"]["code"] == -32602
+    assert "x pkg/app.py" in call("refs", name="prepare_fuel")["result"]["content"][0]["text"]
+    assert all(t["description"] for t in service.handle({"id": 1, "method": "tools/list"})["result"]["tools"])
+    assert service.handle({"id": 1, "method": "initialize", "params": {"protocolVersion": "2025-03-26"}})["result"]["protocolVersion"] == "2025-03-26"
+    assert call("refs", name="absent_name")["result"]["content"][0]["text"].startswith("(no definition")
     assert "start_engine" in call("outline", file="pkg/core.py")["result"]["content"][0]["text"]
     assert call("search", query="zzz", mode="bm25")["result"]["content"][0]["text"] == "(no results)"
     assert call("search", query="zzz", mode="bad")["result"]["isError"]
-    assert "2 empty" not in engine.report() and "1 empty" in engine.report()
+    assert "(1)" in engine.report() and "Searched most" in engine.report()
     out = io.StringIO()
     serve(engine, io.StringIO('{"id": 1, "method": "ping"}\n\nbroken\n'), out)
     assert [json.loads(x).get("error", {}).get("code") for x in out.getvalue().splitlines()] == [None, -32700]
@@ -189,3 +194,18 @@ def test_cli(tree):
     assert run("refs", "prepare_fuel", "--json") == 0 and json.loads(said[-1])["referenced"][0]["score"] == 3
     assert run("map", "--budget", "48") == 0 and len(said[-1]) // 4 <= 64
     assert run("doctor") == 0
+
+
+def test_vectors_that_lack_are_made_later_and_one_old_version_stays(spark, tmp_path):
+    put(tmp_path, a_py="def first_one():\n    pass\n")
+    engine = Engine(spark, str(tmp_path))
+    engine.index(embed=False)
+    assert engine.table("vectors").count() == 0
+    held = engine.table("symbols")
+    engine.index()
+    assert engine.table("vectors").count() == 1 and held.count() == 1
+    put(tmp_path, b_py="def second_one():\n    pass\n")
+    engine.index(embed=False)
+    assert {c["name"]: c["n"] for c in engine.doctor()}["embeddings"] == 1
+    engine.index()
+    assert engine.table("vectors").count() == 2 and len(list(engine.store.glob("v[0-9]*"))) == 2

@@ -277,13 +277,47 @@ def test_telemetry_log(spark, tmp_path, monkeypatch):
     from tessera.operators import telemetry
 
     path = str(tmp_path / "log" / "q.jsonl")
-    telemetry.append(path, "search", {"query": "x"}, "(no results)")
-    assert not (tmp_path / "log").exists()
+    log = telemetry.QueryLog(path)
+    assert not log.record("search", {"query": "x"}, "(no results)") and not (tmp_path / "log").exists()
     monkeypatch.setenv(telemetry.ENABLED, "1")
-    telemetry.append(path, "search", {"query": "x"}, "(no results)")
-    telemetry.append(path, "defs", {"name": "y"}, "defined in: z")
+    assert log.record("search", {"query": "x"}, "(no results)") and log.record("defs", {"name": "y"}, "defined in: z")
+    assert not telemetry.QueryLog("/proc/none/q.jsonl").record("defs", {}, "")
     with open(path, "a") as f:
         f.write("broken\n")
     log = telemetry.read(spark, path)
     assert {(r.cmd, r.calls, r.empties) for r in telemetry.by_command(log).collect()} == {("search", 1, 1), ("defs", 1, 0)}
     assert [(r["query"], r.n) for r in telemetry.top_queries(log).collect()] == [("x", 1)]
+
+
+def test_words_of_plain_and_other_identifiers(spark):
+    """The short way for words of one part gives what the long way gives."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as X
+    from tessera.schema import IDENT, STOPWORDS, SUBTOKEN
+
+    texts = ["The quick brownFox", "HTTPServer getHTTPResponse2 ABC Abc aBC _lead trail_ a_b snake_case_name x2y Z9 word99Word", "ABCdef Abc1 A1 ALLCAPS all1caps9 __init__ import returnValue", ""]
+
+    def plainly(t):
+        out = []
+        for i in re.findall(IDENT, t):
+            if i.lower() not in STOPWORDS:
+                parts = [p.lower() for p in re.findall(SUBTOKEN, i)]
+                out += [i.lower()] + ([p for p in parts if len(p) > 1 and p not in STOPWORDS] if len(parts) > 1 else [])
+        return out
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.tokenize(F.col("t")).alias("w")).collect()
+    assert {r.i: r.w for r in rows} == {i: plainly(t) for i, t in enumerate(texts)}
+
+
+def test_patterns_that_only_python_compiles_are_refused(spark, tmp_path):
+    import json
+
+    from tessera.sources import repo
+
+    (tmp_path / ".tessera").mkdir()
+    (tmp_path / ".tessera" / "wiring.json").write_text(json.dumps({"patterns": [{"regex": r"Bind<(?P<n>\w+)>"}, {"regex": r"Bind<(\w+)>"}]}))
+    good, errors = repo.wiring(str(tmp_path), spark)
+    assert good == [r"Bind<(\w+)>"] and len(errors) == 1
