@@ -11,12 +11,13 @@ each shard lies an index: for each record a row of int64 (has_id, doc_id, offset
 the number of rows, for reads in any order without a pass over the shard.
 
 Shards are cut by ranges of doc_id and sorted within, so record order over all shards is doc_id order
-(null first, equal ids by text). A shard's name carries the task attempt that wrote it, and the
+(null first, equal ids by a hash of the text). No id, however often it repeats, has to fit one shard. A shard's name carries the task attempt that wrote it, and the
 manifest names the files that count: retries and speculative copies leave no doubt. Files go to the
 shared folder by its URI through Arrow's file systems, which open local, HDFS and object stores.
 
-Defined cases: a null text is empty and its record holds the end id only; repeated rows give repeated
-records; an empty table gives no shard and no rows.
+Defined cases: a null text is empty and its record holds the end id only; texts of any length are encoded
+whole; repeated rows give repeated records; columns other than doc_id and text are not read; an empty table
+gives no shard and no rows.
 """
 
 from __future__ import annotations
@@ -178,7 +179,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
             out.write(rows.tobytes())
         yield {"part": [task.partitionId()], "path": [path], "n_docs": [len(rows)], "n_tokens": [tokens]}
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, or all, are told apart by hash and place, so that they need not share a shard
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place"))
+    ordered = own.repartitionByRange("doc_id", "mark", "place").sortWithinPartitions("doc_id", "mark", "place")
     return written(map_slices(ordered, shard, ddl), "token-manifest")
 
 
