@@ -18,7 +18,8 @@ documents of similarity ``SIMILAR`` or more (copies count).
 Words lie between white space, with ASCII letters lowered. Defined cases: a text of one to four words is
 one shingle; a null, empty or blank text has no shingles, no links and is its own class; repeated rows are
 copies; rows that share a doc_id but not their text are documents of their own; classes of rows without
-doc_id have a null class_id; an empty table gives no rows.
+doc_id have a null class_id; texts of any length count whole; columns other than doc_id and text are not
+read, and :func:`one_of_each` returns them as they are, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import map_slices, schema_of, texts
+from tessera.llm.batches import fresh, map_slices, schema_of, texts
 from tessera.llm.textkit import U, mix, shingles
 from tessera.storage import table, written
 
@@ -253,12 +254,13 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     rows = _classes(docs, similar, RECALL).groupBy("doc_id", "mark").agg(F.max("other").alias("gone"), F.count("*").alias("n"))
     found = written(rows.where("gone or n > 1"), "near-gone")
-    own = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
-    named = lambda rows: rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    left, repeated = docs.join(named(found), own, "left_anti"), found.where("not gone")
+    key, mark = fresh(docs, "key", "mark")
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(mark))
+    keyed = lambda rows: rows.select(F.col("doc_id").alias(key), F.col("mark").alias(mark))
+    left, repeated = docs.join(keyed(found), own, "left_anti"), found.where("not gone")
     if repeated.isEmpty():
         return left
-    return left.unionByName(docs.join(named(repeated), own, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.union(docs.join(keyed(repeated), own, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

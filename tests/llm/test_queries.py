@@ -71,6 +71,19 @@ def test_binary(spark, messy):
     assert rows(binary.op2(spark, folder), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(expected, key=key)
 
 
+def test_binary_of_one_repeated_id(spark, tmp_path):
+    """One id in many shards: its records are all there, in one unbroken order."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = spark.createDataFrame([(None if i % 5 == 0 else 7, f"text {i % 50}") for i in range(400)], "doc_id long, text string").repartition(3)
+    manifest = binary.write(docs, f"file://{tmp_path}/shards", public_tokenizers.path(binary.VOCABULARY))
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in binary.read(manifest).collect())
+    assert manifest.count() > 1 and all(a + n == b for (a, n, _), (b, _, _) in zip(got, got[1:]))
+    assert [d for _, _, d in got] == [None] * 80 + [7] * 320
+    again = binary.write(docs, f"file://{tmp_path}/again", public_tokenizers.path(binary.VOCABULARY))
+    assert sorted(map(str, binary.read(again).drop("ids").collect())) == sorted(map(str, binary.read(manifest).drop("ids").collect()))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_binary_reads_in_any_order_and_sees_damage(spark, messy, tmp_path):
     docs, _, _ = messy
     manifest = binary.write(docs, f"file://{tmp_path}/shards", public_tokenizers.path(binary.VOCABULARY))
@@ -162,6 +175,13 @@ def test_one_of_each(spark, messy):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (1, 2, 6, 7)) == [1, 6]
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i // 2, f"a b c d e f g {i // 3}", i, "m", 1) for i in range(30)], "doc_id long, text string, `key` long, `mark` string, `a.b` int")
+    got = neardup.one_of_each(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+    assert len({r.text for r in got.collect()}) == 10
+
+
 def test_near_duplicates_without_ids_or_with_shared_ones(spark):
     base = [f"w{i}" for i in range(90)]
     near = [" ".join([*base, f"x{i}"]) for i in range(4)]
