@@ -6,7 +6,12 @@
 4. mix       documents are taken as often as their source's target weight asks
 5. encode    token ids, with their count and digests; ``ids`` is the pipeline's result proper
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, whatever their names.
+
+Defined cases: a null text is scored, compared and encoded as an empty one and stays null until then; an empty
+text has no near duplicate; texts of any length go whole through every stage; of repeated rows one stays
+(``near``), unless the mix takes it twice; rows without doc_id or source go through like others; empty tables
+give no rows, and without labels every document counts as good.
 """
 
 from __future__ import annotations
