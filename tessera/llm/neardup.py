@@ -39,6 +39,8 @@ from tessera.storage import table, written
 SIMILAR, WORDS, RECALL, MOST_HASHES = 0.8, 5, 0.9999, 128
 #: Members, and shingles, of a bucket that a task verifies at once.
 TOGETHER, SHINGLES = 2_048, 4_000_000
+#: Bytes of text that are sketched at a time: some twenty arrays of eight bytes for each, part of which a worker keeps.
+SKETCHED = 1 << 20
 
 
 def bands_and_rows(similar: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -90,7 +92,7 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield {"doc_id": part["doc_id"], "mark": part["mark"], "k1": pa.array(k1, mask=none), "k2": pa.array(k2, mask=none), "size": size, "bands": own.tolist()}
 
     own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
-    return map_slices(own, run, "doc_id long, mark long, k1 long, k2 long, size long, bands array<long>")
+    return map_slices(own, run, "doc_id long, mark long, k1 long, k2 long, size long, bands array<long>", most=SKETCHED)
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
