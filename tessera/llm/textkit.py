@@ -23,15 +23,22 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[0x41:0x5B] += 0x20
 
 
+#: Powers that a worker keeps; more, for a longer block, go with it.
+KEPT = 1 << 20
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, b in enumerate((_BASE, inverse)):
-            x = np.full(max(n, 1 << 16), b, U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(max(n, 1 << 16), b, U)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=U))
+    if n <= KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,13 +61,12 @@ class Block:
 
     def prepare(self, lower: bool = False) -> None:
         data = LOWERED[self.data] if lower else self.data
-        power, _ = _power(len(data) + 1)
+        power, self.inverse = _power(len(data) + 1)
         self.sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * power[: len(data)], dtype=U)])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the runs [start, end)."""
-        _, inverse = _power(len(self.data) + 1)
-        return mix((self.sums[ends] - self.sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U))
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         """The text in which each position lies."""
