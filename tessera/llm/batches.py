@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -47,15 +48,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Hands freed memory to the system: Spark keeps workers for the next stage, with all that a task's arrays had taken."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # of glibc only
+        trim(0)
+
+
 def map_slices(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str | StructType, column: str = "text", most: int = SLICE) -> DataFrame:
     """fn gets the slices of a partition and yields columns by name, in the order of ``schema``."""
     schema = schema_of(schema) if isinstance(schema, str) else schema
     arrow, names = to_arrow_schema(schema), df.columns
 
     def run(batches):
+        give_back()
         for columns in fn(part for batch in batches for part in slices(batch.rename_columns(names), column, most)):
             made = (columns[f.name] for f in arrow)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
+            del columns, made
+        give_back()
 
     # by number: Spark would resolve a name with a dot or a backtick as something else
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import fresh, map_slices, schema_of, texts
+from tessera.llm.batches import fresh, give_back, map_slices, schema_of, texts
 from tessera.llm.textkit import U, mix, shingles
 from tessera.storage import table, written
 
@@ -197,6 +197,8 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
                     held.append(r)
         if held and (out := task(held)) is not None:
             yield out
+        held = []
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 
