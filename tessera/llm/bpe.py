@@ -39,6 +39,8 @@ from tessera.storage import scratch, table, written
 VOCABULARY = "word_bpe_49k.json"
 #: Most words in the lexicon, words a worker counts before it hands them on, words whose ids a worker remembers.
 LEXICON, COUNTED, REMEMBERED = 1 << 15, 100_000, 250_000
+#: Bytes of text that are encoded at a time: ids and digits of a slice take some twenty times as much.
+ENCODED = 1 << 20
 _WORD_END = "</w>"
 _ID, _MASK, _NEVER = 20, (1 << 20) - 1, 1 << 60
 
@@ -283,7 +285,7 @@ def encode(docs: DataFrame, vocabulary: str, most: int = LEXICON, with_ids: bool
             yield out
 
     ids = "ids array<int>, " if with_ids else ""
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string", most=ENCODED)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
