@@ -239,8 +239,8 @@ def graph_edges(spark, sf):
 
 @query(f"WITH {D.SYMBOLS}, {D.IDENTS}, defs AS (SELECT DISTINCT name, path FROM symbols), refs AS (SELECT * FROM idents), {D.USED} SELECT name, rf FROM kept")
 def ambient_cutoff(spark, sf):
-    used, _ = graph.usable_references(A.doc_symbols(spark, sf).select("name", "path").distinct(), A.doc_idents(spark, sf))
-    return used.select("name", "rf").distinct()
+    own = navigate.referenced_defined(A.doc_idents(spark, sf), A.doc_symbols(spark, sf))
+    return graph.usable_names(own)[0]
 
 
 def _line_ranks(spark, sf, focus=()):

@@ -27,15 +27,21 @@ def defined_references(definitions: DataFrame, references: DataFrame) -> DataFra
     return references.join(definitions.select("name").distinct(), "name", "left_semi")
 
 
-def usable_references(definitions: DataFrame, references: DataFrame, mentions: Iterable[str] = (), n_files: int | None = None) -> tuple[DataFrame, int]:
-    """References to defined names with rf (files that reference the name), without ambient vocabulary, and the number of files that reference any."""
-    own = defined_references(definitions, references)
+def usable_names(own: DataFrame, mentions: Iterable[str] = (), n_files: int | None = None) -> tuple[DataFrame, int]:
+    """name and rf (files that reference the name) of the names that ``own``, the references to defined names, hold, without ambient vocabulary, and the number of files that reference any."""
     if n_files is None:
         n_files = max(1, own.select("path").distinct().count())
     rf = own.groupBy("name").agg(F.count("*").alias("rf"))
     if n_files >= AMBIENT_FILES:  # before the join with definitions: these names are also its most skewed keys
         few = F.col("rf") / n_files <= AMBIENT
         rf = rf.where(few | F.col("name").isin(*mentions) if mentions else few)
+    return rf, n_files
+
+
+def usable_references(definitions: DataFrame, references: DataFrame, mentions: Iterable[str] = (), n_files: int | None = None) -> tuple[DataFrame, int]:
+    """References to defined names with rf, those to ambient names left out, and the number of files that reference any."""
+    own = defined_references(definitions, references)
+    rf, n_files = usable_names(own, mentions, n_files)
     return own.join(rf, "name"), n_files
 
 

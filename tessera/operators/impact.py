@@ -10,6 +10,7 @@ from tessera.functions import text as X
 from tessera.operators.navigate import most_used
 from tessera.operators.rankmap import within
 from tessera.schema import IMPACT_BUDGET
+from tessera.storage import handy
 
 
 def changed_since(files: DataFrame, now: float, hours: float) -> DataFrame:
@@ -18,7 +19,8 @@ def changed_since(files: DataFrame, now: float, hours: float) -> DataFrame:
 
 def uses(changed: DataFrame, symbols: DataFrame, idents: DataFrame) -> DataFrame:
     """path, name, count: references from outside the changed files to names that those define."""
-    names = symbols.join(changed, "path", "left_semi").select("name").distinct()
+    changed = handy(changed.distinct(), "changed")
+    names = handy(symbols.join(changed, "path", "left_semi").select("name").distinct(), "changed-names")
     return idents.join(names, "name", "left_semi").join(changed, "path", "left_anti")
 
 
@@ -35,7 +37,7 @@ def dependents(changed: DataFrame, symbols: DataFrame, idents: DataFrame, tests_
 def changed_symbols(changed: DataFrame, symbols: DataFrame, idents: DataFrame, most: int = 8) -> DataFrame:
     """The changed files' symbols that others use most. Uses are counted over all files, also where only tests are asked for."""
     total = uses(changed, symbols, idents).groupBy("name").agg(F.sum("count").alias("uses"))
-    own = symbols.join(changed, "path", "left_semi")
+    own = symbols.join(handy(changed.distinct(), "changed"), "path", "left_semi")
     return most_used(own, total, most).select("path", "line", "name", "signature", "uses", "rank")
 
 

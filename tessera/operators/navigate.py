@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.storage import handy
 
 
 def outline(symbols: DataFrame, path: str) -> DataFrame:
@@ -39,7 +40,7 @@ def refs_elsewhere(idents: DataFrame, symbols: DataFrame, name: str) -> DataFram
 
 
 def referenced_defined(idents: DataFrame, symbols: DataFrame) -> DataFrame:
-    return idents.join(symbols.select("name").distinct(), "name", "left_semi")
+    return idents.join(handy(symbols.select("name").distinct(), "defined"), "name", "left_semi")
 
 
 def covering(symbols: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,9 @@ from tessera.functions import text as X
 from tessera.schema import IDENT
 from tessera.storage import table
 
+#: Paths of several documents up to which only those documents' counts are added up.
+MANY_PATHS = 100_000
+
 
 def doc_path() -> F.Column:
     tests = F.when(F.col("doc_id") % 10 == 0, "tests/").otherwise("")
@@ -37,8 +40,29 @@ def doc_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_idents(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(doc_path().alias("path"), F.explode(X.identifiers(F.col("text"))).alias("name"))
-    return d.where(~X.stopword(F.lower("name"))).groupBy("path", "name").agg(F.count("*").alias("count"))
+    """Counted within each document; only documents of one path, which are counted before, are added up by a shuffle."""
+    docs = table(spark, sf, "documents").select(doc_path().alias("path"), "text")
+    again = docs.groupBy("path").agg(F.count("*").alias("n")).where("n > 1 or path is null").select(F.col("path").alias("again"))
+    many = again.limit(MANY_PATHS + 1).count()
+    if not many:
+        return _counted(docs)
+    if many > MANY_PATHS:
+        return _added(_counted(docs))
+    again, same = F.broadcast(again), F.col("path").eqNullSafe(F.col("again"))
+    return _counted(docs.join(again, same, "left_anti")).unionByName(_added(_counted(docs.join(again, same, "left_semi"))))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """path, name and count of each row of (path, text): the identifiers in order, of which runs are counted."""
+    names = docs.select("path", F.sort_array(X.identifiers(F.col("text"))).alias("names"))
+    last = F.transform("names", lambda x, i: F.when((i + 1 == F.size("names")) | (F.get("names", i + 1) != x), F.struct(x.alias("name"), (i + 1).alias("upto"))))
+    ends = names.select("path", F.filter(last, lambda x: x.isNotNull()).alias("ends"))
+    runs = F.transform("ends", lambda x, i: F.struct(x["name"].alias("name"), (x["upto"] - F.coalesce(F.get("ends", i - 1)["upto"], F.lit(0))).cast("long").alias("count")))
+    return ends.select("path", F.inline(runs)).where(~X.stopword(F.lower("name")))
+
+
+def _added(idents: DataFrame) -> DataFrame:
+    return idents.groupBy("path", "name").agg(F.sum("count").alias("count"))
 
 
 def line_deliveries(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -52,5 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def handy(df: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+    """``df`` as a written table, to be broadcast if it has no more than ``most`` rows."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -55,3 +55,18 @@ def test_generated_filter_reads_whole_texts(spark, tmp_path):
     with duckdb.connect() as c:
         c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         assert plain(c.execute(catalogue.ORACLES["generated_filter"]).fetchall()) == plain(rows)
+
+
+def test_counts_within_documents(spark, tmp_path):
+    """Documents of one path and of none are added up, others are counted without a shuffle."""
+    docs = [(i, t, "en", "s") for i, t in enumerate([None, "", "The the\nthe ing\nthe ab\nZed the", "import the\nfoo_bar foo_bar foo_bar"])]
+    again = [(2, "the Zed\nother", "en", "s"), (7, "the null", None, "s"), (8, "the null", None, "s"), (9, "null", None, "s")]
+    for name, rows in (("once", docs), ("again", docs + again)):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = catalogue.lexical_idents(spark, f"{tmp_path}/{name}")
+        assert ("Exchange hashpartitioning" in got._jdf.queryExecution().executedPlan().toString()) == (name == "again")
+        with duckdb.connect() as c:
+            c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+            for query in ("lexical_idents", "referenced_defined", "ambient_cutoff"):
+                df = catalogue.QUERIES[query](spark, f"{tmp_path}/{name}")
+                assert plain(map(tuple, df.collect())) == plain(c.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLES[query]})").fetchall())
