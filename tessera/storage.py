@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def handy(df: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+def handy(df: DataFrame, name: str, most: int = 2_000_000) -> DataFrame:
     """``df`` as a written table, to be broadcast if it has no more than ``most`` rows."""
     df = written(df, name)
     return F.broadcast(df) if df.count() <= most else df
